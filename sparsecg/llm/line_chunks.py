@@ -133,3 +133,11 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     cut = arrow_map(joined.select(*[docs[c] for c in rest], docs["text"].cast("string"), "__gone"), _cut, f"{fields}, __text string, __lines long, __removed long")
     return cut.select(*[F.col("__text").alias("text") if c == "`text`" else F.col(c) for c in cols], "__lines", "__removed")
+
+
+def with_length(cleaned: DataFrame) -> DataFrame:
+    """remove_repeated()'s rows with n_chars brought up to date where lines went; it stays as it was elsewhere."""
+    if "n_chars" not in cleaned.columns:
+        return cleaned
+    kind = cleaned.schema["n_chars"].dataType
+    return cleaned.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
