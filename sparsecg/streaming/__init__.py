@@ -1,0 +1 @@
+"""No operator of this library works on an unbounded stream; its inputs are whole matrices and vectors."""
