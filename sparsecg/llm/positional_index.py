@@ -97,7 +97,7 @@ class Index:
         first = first.select("dk", "th", "item_id", "ih", "t2", (F.col("pos") - F.col("j1")).alias("diag"), (F.col("pos") - F.col("j1") + F.col("j2")).alias("pos"))
         second_terms = small(windows.select(F.col("t2").alias("term")).distinct(), n)
         second = self.postings.join(second_terms, "term", "left_semi").select("dk", "th", "pos", F.col("term").alias("t2")).distinct()
-        diagonals = written(first.where("diag >= 0").join(second, ["dk", "th", "pos", "t2"]).select("dk", "th", "item_id", "ih", "diag").distinct(), "diagonals")
+        diagonals = written(first.join(second, ["dk", "th", "pos", "t2"]).select("dk", "th", "item_id", "ih", "diag").distinct(), "diagonals")
         wanted = diagonals.join(small(self.items, self.items.count()), ["item_id", "ih"]).select("dk", "th", "item_id", "ih", "diag", "n", "j", "term", (F.col("diag") + F.col("j")).alias("pos"))
         there = self.postings.select("dk", "th", "pos", "term").distinct()
         met = wanted.join(there, ["dk", "th", "pos", "term"])
@@ -157,6 +157,6 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     bad = contamination(docs, items, window).where(contaminated(F.col("n_words"), F.col("n_hit")))
-    bad = bad.select(F.col("dk").alias("__dk"), F.col("th").alias("__th")).distinct()
+    bad = bad.select("dk", "th").distinct()
     doc, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    return docs.join(bad, (F.coalesce(doc, F.lit(-1)) == F.col("__dk")) & (F.xxhash64(doc, text) == F.col("__th")), "left_anti")
+    return docs.join(bad, (F.coalesce(doc, F.lit(-1)) == bad["dk"]) & (F.xxhash64(doc, text) == bad["th"]), "left_anti")
