@@ -16,7 +16,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the chunks of lines that an earlier place has; n_chars follows the new text."""
-    return line_chunks.with_length(line_chunks.remove_repeated(docs)).select(docs.columns)
+    return line_chunks.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,49 +95,53 @@ def _joined(batches: Iterator[pa.RecordBatch], size: int = 2000) -> Iterator[pa.
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """..., text, removed -> ..., text without these lines, number of lines and of removed lines."""
+    """row, text, removed -> row, text without these lines, number of lines and of removed lines."""
     for b in batches:
         texts, n, gone = [], [], []
-        for text, removed in zip((x.as_py() for x in b.column(b.num_columns - 2)), (x.as_py() for x in b.column(b.num_columns - 1)), strict=True):
+        for text, removed in zip((x.as_py() for x in b.column(1)), (x.as_py() for x in b.column(2)), strict=True):
             lines = text.split("\n") if text is not None else []
             n.append(len(lines))
             gone.append(sum(c["hi"] - c["lo"] for c in removed or ()))
             for c in sorted(removed or (), key=lambda c: -c["lo"]):
                 del lines[c["lo"] : c["hi"]]
             texts.append(None if text is None else "\n".join(lines))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-2], "__text", "__lines", "__removed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), lo, hi: the chunks of docs(doc_id, text) that repeat an earlier place."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     chunks = written(arrow_map(rows, _digests, "doc_id long, key long, lo int, hi int, h1 long, h2 long").dropDuplicates(["doc_id", "key", "lo"]), "chunks")
-    twice = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    # what joins meet is stored first, so that both sides are plain exchanges and a very common chunk can be split
+    twice = written(chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "twice")
     places = written(chunks.join(twice, ["h1", "h2"]), "places")
     own = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi", "h1", "h2")).alias("chunks"))  # a document's own
     texts = rows.join(own.hint("shuffle_hash"), ["doc_id", "key"]).select("text", "chunks")
     same = arrow_map(texts, _joined, "h1 long, h2 long, bytes binary").groupBy("h1", "h2", "bytes").agg(F.count("*").alias("n"))
     sure = same.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n = 1").select("h1", "h2")
     first = places.where("doc_id = first").groupBy("h1", "h2").agg(F.min(F.struct("key", "lo")).alias("at"))
-    gone = places.join(sure.join(first, ["h1", "h2"]), ["h1", "h2"]).where("not (doc_id = first and key = at.key and lo = at.lo)")
+    verdict = written(sure.join(first, ["h1", "h2"]), "verdict")
+    gone = places.join(verdict, ["h1", "h2"]).where("not (doc_id = first and key = at.key and lo = at.lo)")
     return written(gone.select("doc_id", "key", "lo", "hi"), "removed")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
-    """docs with text cut to what no earlier place has, and __lines, __removed: its lines before and those removed."""
-    gone = repeated_chunks(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("__gone"))
-    cols = [f"`{c}`" for c in docs.columns]
-    rest = [c for c in cols if c != "`text`"]
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone").hint("shuffle_hash")
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key")), "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    cut = arrow_map(joined.select(*[docs[c] for c in rest], docs["text"].cast("string"), "__gone"), _cut, f"{fields}, __text string, __lines long, __removed long")
-    return cut.select(*[F.col("__text").alias("text") if c == "`text`" else F.col(c) for c in cols], "__lines", "__removed")
-
-
-def with_length(cleaned: DataFrame) -> DataFrame:
-    """remove_repeated()'s rows with n_chars brought up to date where lines went; it stays as it was elsewhere."""
-    if "n_chars" not in cleaned.columns:
-        return cleaned
-    kind = cleaned.schema["n_chars"].dataType
-    return cleaned.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    """row (all columns of docs but text), text cut to what no earlier place has, n_lines before, n_removed."""
+    gone = repeated_chunks(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")).hint("shuffle_hash")
+    text = docs["text"].cast("string")
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(text) == gone["key"]), "left")
+    row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    packed = joined.select(row.alias("row"), text.alias("text"), gone["gone"].alias("gone"))
+    return arrow_map(packed, _cut, f"row {packed.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with the lines gone, and n_chars, if there, brought up to date where lines went."""
+    out = remove_repeated(docs)
+    cols = []
+    for f in docs.schema:
+        c = F.col("text").cast(f.dataType) if f.name == "text" else F.col(f"row.`{f.name}`")
+        if f.name == "n_chars":
+            c = F.when(F.col("n_removed") > 0, F.char_length("text").cast(f.dataType)).otherwise(c)
+        cols.append(c.alias(f.name))
+    return out.select(*cols)

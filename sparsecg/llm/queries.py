@@ -28,7 +28,7 @@ def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+    return out.select("row.doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,13 +59,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter(map(fingerprint, (x.as_py() for x in b.column(1))), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.fromiter(map(fingerprint, (x.as_py() for x in b.column(2))), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(text.cast("string"), text.isNull())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) for each row of docs(doc_id, text)."""
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
+    """doc_id, th (text_key), fp (the fingerprint's 64 bits as a signed long) for each row of docs(doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, _fingerprints, "doc_id long, th long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -222,22 +228,28 @@ def hex16(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included) for each row of docs."""
+    """doc_id, th, fp, root (a fingerprint that names the component), component_id for each row of docs.
+
+    component_id is the smallest doc_id reachable over links, itself included.
+    """
     own = written(fingerprints(docs), "fingerprints")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = written(components(links(classes.select("fp"), distance)), "components")
     rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    # stored, so that the join below meets two plain exchanges and a fingerprint of very many rows can be split
+    named = written(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "named")
+    return own.join(named, "fp", "left").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs that come first in their component: one of each, the smallest doc_id; among rows that repeat it, one.
+    """Of each component the row of docs with the smallest doc_id, then text key; of rows that repeat it, one.
 
     Rows without a doc_id stay, as nothing tells them apart from the row that should be kept.
     """
-    found = near_duplicates(docs, distance)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    cols = docs.columns
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(cols).unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs.where("doc_id is not null"), distance).select("doc_id", "th", "root"), "near")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"))
+    first = docs.join(kept, (docs["doc_id"].cast("long") == kept["kept_id"]) & (text_key(docs["text"]) == kept["kept_th"]), "left_semi")
+    if found.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        first = first.dropDuplicates(["doc_id", "text"])
+    return first.unionByName(docs.where("doc_id is null"))

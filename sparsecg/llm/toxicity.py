@@ -11,8 +11,8 @@ all maximal scoring segments (each is a passage no neighbouring words could impr
 number of segments of score S that n clean words hold by chance is about K n exp(-lambda S); lambda solves
 E[exp(lambda s)] = 1 over clean tokens and K makes the expectation right for clean documents. Segments whose
 expectation is under SIGNIFICANT are the passages; a document's evidence is the sum of lambda S - log(K n) over
-them, which a two-parameter logistic maps to a probability. lambda, K and the logistic are fitted on at most
-CALIBRATION_ROWS labelled rows of one fold, scored with log-odds learned from the other; the log-odds themselves
+them, which a two-parameter logistic maps to a probability. lambda, K and the logistic are fitted on about
+CALIBRATION_ROWS labelled rows of one fold at most, scored with log-odds learned from the other; the log-odds themselves
 count every labelled training row, and every text is scored whole.
 
 Defined results: null or empty texts have no words and get the score of a document without passages; rows
@@ -217,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
 
     both = weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3])
     half = weights(got[:, 1], got[:, 3], rows_n[0], rows_n[2])
-    sample = train.where("fold = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("toxic", "text")
+    # rows under a place in the order of a hash, set so that about calibration_rows of them are
+    share = min(1.0, calibration_rows / max(int(rows_n[1] + rows_n[3]), 1))
+    sample = train.where((F.col("fold") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))).select("toxic", "text")
     flat = np.array([(r[0], r[1], r[2]) for r in _numbers(sample, half).collect()], float).reshape(-1, 3)
     x_all = _histogram(train.where("fold = 1 and toxic = 0").select("text"), half)
     lam = _lambda(*x_all) if len(x_all[0]) else 1.0
@@ -263,8 +265,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns."""
     model = fit(docs, labels)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    carried = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("__scored"))
-    found = arrow_map(carried, _evidence(model.buckets, model.weights, model.lam, model.k), f"{fields}, {_EVIDENCE.replace('evidence', '__evidence', 1).replace('passages', '__passages').replace('n_words', '__n').replace('best', '__best')}")
-    p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("__evidence") + F.lit(model.intercept))))
-    return found.where(p < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    found = arrow_map(packed, _evidence(model.buckets, model.weights, model.lam, model.k), f"row {packed.schema['row'].dataType.simpleString()}, {_EVIDENCE}")
+    p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.intercept))))
+    return found.where(p < threshold).select("row.*")
