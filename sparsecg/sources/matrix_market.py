@@ -118,8 +118,8 @@ def read(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
     width = places + h.nvalspernz
     lines = _data_lines(spark, path, h)
     number = (lambda c: c.try_cast("long").cast("double")) if h.field == "integer" else (lambda c: c.try_cast("double"))
-    value = F.lit(1.0) if h.field == "pattern" else number(f[places]) if h.field != "complex" else F.struct(number(f[places]).alias("re"), number(f[places + 1]).alias("im"))
-    typed = lines.select("at", F.size(f).alias("w"), *([(f[0].try_cast("long") - 1).alias("i"), (f[1].try_cast("long") - 1).alias("j")] if places else []), value.alias("a"))
+    value = F.lit(1.0) if h.field == "pattern" else number(F.get(f, F.lit(places))) if h.field != "complex" else F.struct(number(F.get(f, F.lit(places))).alias("re"), number(F.get(f, F.lit(places + 1))).alias("im"))
+    typed = lines.select("at", F.size(f).alias("w"), *([(F.get(f, F.lit(0)).try_cast("long") - 1).alias("i"), (F.get(f, F.lit(1)).try_cast("long") - 1).alias("j")] if places else []), value.alias("a"))
     bad = (F.col("w") != width) | (F.col("a.re").isNull() | F.col("a.im").isNull() if h.field == "complex" else F.col("a").isNull())
     if places:
         bad = bad | F.col("i").isNull() | F.col("j").isNull() | (F.col("i") < 0) | (F.col("i") >= h.nrows) | (F.col("j") < 0) | (F.col("j") >= h.ncols)
