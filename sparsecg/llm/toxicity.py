@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Learning: each labelled document votes once for each word and word stem (its first 4 and 5 letters) that it
-holds. A feature's log-odds between toxic and clean documents have an informative Dirichlet prior in proportion
-to its frequency in both; what counts is the lower end of their confidence interval, so rare features say nothing.
+holds. A feature's log-odds between toxic and clean documents have a symmetric Dirichlet prior; what counts is the
+lower end of their confidence interval, so features that are too rare to be sure of say nothing.
 Features are hashed to BUCKETS places, which bounds counts, shuffle rows, driver and workers whatever the
 vocabulary.
 
@@ -17,7 +17,7 @@ count every labelled training row, and every text is scored whole.
 
 Defined results: null or empty texts have no words and get the score of a document without passages; rows
 without a label, or with a null or other label, teach nothing; with no toxic or no clean training row all scores
-are 0; repeated rows count each; an empty table gives an empty result; other columns are ignored.
+are 0; rows that repeat a text teach once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, slices, written
 
 BUCKETS = 1 << 20
-PRIOR = 2000.0
-CONFIDENCE = 2.0
+#: Documents of each class that every feature is taken to have been seen in besides.
+PRIOR = 0.5
+#: Standard errors below the log-odds; the calibration fold chooses one, as what is rare depends on the labels' number.
+CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
 DRIFT = 0.2
 SIGNIFICANT = 0.05
 CALIBRATION_ROWS = 20_000
@@ -120,15 +122,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), *[pa.array(np.r_[counts[k, at].astype(np.int64), rows[k]]) for k in range(4)]], ["bucket", "c0", "c1", "t0", "t1"])
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, n_all: float) -> np.ndarray:
-    """Lower confidence bound of the log-odds of features, under a Dirichlet prior that follows their frequency."""
-    a = PRIOR * (toxic + clean) / max(n_all, 1.0)
-    # the prior speaks for both classes in proportion to their documents, so a bucket of average use has log-odds 0
-    share = n_toxic / max(n_toxic + n_clean, 1)
-    y, x, at, ac = toxic + a * share, clean + a * (1 - share), n_toxic + PRIOR * share, n_clean + PRIOR * (1 - share)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        delta = np.log(y / at) - np.log(x / ac)
-        low = delta - CONFIDENCE * np.sqrt(1 / y + 1 / x)
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, confidence: float) -> np.ndarray:
+    """Lower confidence bound of the log-odds of features, with PRIOR documents of each class added; 0 if none is sure."""
+    y, x = toxic + PRIOR, clean + PRIOR
+    delta = np.log(y / (n_toxic + 2 * PRIOR)) - np.log(x / (n_clean + 2 * PRIOR))
+    low = delta - confidence * np.sqrt(1 / y + 1 / x)
     return np.where((toxic >= LEAST_TOXIC) & (low > 0), low, 0.0)
 
 
@@ -197,62 +195,86 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Learns from the rows of docs(doc_id, text) that labels(doc_id, toxic) marks and that aren't held out."""
+    """Learns from the rows of docs(doc_id, text) that labels(doc_id, toxic) marks and that aren't held out.
+
+    Rows of one text count once, with the label of the smallest doc_id.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("string").alias("text"))
+    hashed = rows.select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("th")).join(known, "doc_id")
+    first = hashed.groupBy("th").agg(F.min(F.struct("doc_id", "toxic")).alias("f")).select("f.doc_id", "f.toxic")
     fold = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 2).cast("int").alias("fold")
-    train = written(rows.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
+    train = written(rows.join(first.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
     counts = arrow_map(train.select("toxic", "fold", "text"), _count, "bucket long, c0 long, c1 long, t0 long, t1 long")
-    sums = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")], ).where(f"t0 + t1 >= {LEAST_TOXIC} or bucket < 0")
+    sums = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]).where(f"t0 + t1 >= {LEAST_TOXIC} or bucket < 0")
     got = np.array(sums.collect(), np.int64).reshape(-1, 5)  # BUCKETS rows at most
     rows_n = got[got[:, 0] < 0][:, 1:].sum(0) if len(got) else np.zeros(4, np.int64)
     got = got[got[:, 0] >= 0]
-    none = Model(np.empty(0, np.int64), np.empty(0), 1.0, 1.0, 0.0, -50.0)
     if not (rows_n[0] + rows_n[1] and rows_n[2] + rows_n[3]):
-        return none
+        return Model(np.empty(0, np.int64), np.empty(0), 1.0, 1.0, 0.0, -50.0)
 
-    def weights(c: np.ndarray, t: np.ndarray, nc: int, nt: int) -> tuple[np.ndarray, np.ndarray]:
-        w = log_odds(t.astype(float), c.astype(float), nt, nc, 400.0 * (nt + nc))
+    def weights(c: np.ndarray, t: np.ndarray, nc: int, nt: int, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+        w = log_odds(t.astype(float), c.astype(float), nt, nc, confidence)
         return got[w > 0, 0], w[w > 0]
 
-    both = weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3])
-    half = weights(got[:, 1], got[:, 3], rows_n[0], rows_n[2])
+    halves = [weights(got[:, 1], got[:, 3], rows_n[0], rows_n[2], z) for z in CONFIDENCES]
     # rows under a place in the order of a hash, set so that about calibration_rows of them are
     share = min(1.0, calibration_rows / max(int(rows_n[1] + rows_n[3]), 1))
     sample = train.where((F.col("fold") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))).select("toxic", "text")
-    flat = np.array([(r[0], r[1], r[2]) for r in _numbers(sample, half).collect()], float).reshape(-1, 3)
-    x_all = _histogram(train.where("fold = 1 and toxic = 0").select("text"), half)
-    lam = _lambda(*x_all) if len(x_all[0]) else 1.0
-    clean = flat[flat[:, 0] == 0]
-    chance = (np.maximum(clean[:, 1], 1) * np.exp(-lam * clean[:, 2])).sum()
-    k = float(np.clip(len(clean) / chance, 1e-6, 1.0)) if chance > 0 else 1.0
-    scored = arrow_map(sample, _evidence(*half, lam, k), f"toxic int, {_EVIDENCE}").select("toxic", "evidence")
-    ev = np.array(scored.collect(), float).reshape(-1, 2)
-    if not (ev[:, 0] == 1).any() or not (ev[:, 0] == 0).any():
-        return Model(*both, lam, k, 1.0, -3.0)
-    slope, intercept = _logistic(ev[:, 1], ev[:, 0])
-    return Model(*both, lam, k, slope, intercept)
-
+    found = arrow_map(sample, _calibration(halves), "z int, toxic int, n long, segments array<double>, counts array<long>").collect()  # rows of the sample
+    best = None
+    for k, z in enumerate(CONFIDENCES):
+        fitted = _calibrate([r for r in found if r.z == k])
+        if fitted and (best is None or fitted[0] < best[0]):
+            best = (*fitted, z)
+    if best is None:  # one class alone in the sample
+        return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], CONFIDENCES[0]), 1.0, 1.0, 1.0, -3.0)
+    _, lam, chance, slope, intercept, z = best
+    return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], z), lam, chance, slope, intercept)
 
-def _numbers(sample: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """toxic, n_words, best of each sampled row."""
-    return arrow_map(sample, _evidence(*weights, 1.0, 1.0), f"toxic int, {_EVIDENCE}").select("toxic", "n_words", "best")
 
-
-def _histogram(texts: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Share and value of the word scores in texts, rounded to tenths."""
+def _calibration(halves: list[tuple[np.ndarray, np.ndarray]]):
+    """For each level of confidence: the segments' scores of each text, and counts of word scores in tenths for clean ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, n = Scorer(*weights), np.zeros(512, np.int64)
+        scorers = [Scorer(*h) for h in halves]
         for b in batches:
-            for t in (x.as_py() for x in b.column(0)):
-                s = scorer.scores(words_of(t))
-                n += np.bincount(np.clip(np.rint(np.maximum(s, 0) * 10), 0, 511).astype(int), minlength=512)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
-
-    got = np.array(arrow_map(texts, run, "at long, n long").groupBy("at").agg(F.sum("n")).collect(), float).reshape(-1, 2)
-    return got[:, 1] / got[:, 1].sum() if len(got) else got[:, 1], np.where(got[:, 0] > 0, got[:, 0] / 10, -DRIFT)
+            out = []
+            for toxic, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
+                words = words_of(text)
+                for k, scorer in enumerate(scorers):
+                    s = scorer.scores(words)
+                    tenths = np.bincount(np.rint(np.maximum(s, 0) * 10).astype(int)).tolist() if toxic == 0 else []
+                    out.append((k, toxic, len(words), [x for *_, x in segments(s)], tenths))
+            if out:
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["z", "toxic", "n", "segments", "counts"])
+
+    return run
+
+
+def _calibrate(rows: list) -> tuple[float, float, float, float, float] | None:
+    """Log loss, lambda, K, slope and intercept on the rows of one level of confidence; none if a class is missing."""
+    y = np.array([r.toxic for r in rows], float)
+    if not (y == 1).any() or not (y == 0).any():
+        return None
+    counts = np.zeros(max((len(r.counts) for r in rows), default=0) + 1)
+    for r in rows:
+        counts[: len(r.counts)] += r.counts
+    score = np.where(np.arange(len(counts)) > 0, np.arange(len(counts)) / 10, -DRIFT)
+    lam = _lambda(counts / max(counts.sum(), 1), score)
+    chance = sum(max(r.n, 1) * np.exp(-lam * max(r.segments, default=0.0)) for r in rows if r.toxic == 0)
+    k = float(np.clip((y == 0).sum() / chance, 1e-6, 1.0)) if chance > 0 else 1.0
+    x = np.array([_sum_evidence(r.segments, r.n, lam, k) for r in rows])
+    slope, intercept = _logistic(x, y)
+    p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30))), 1e-9, 1 - 1e-9)
+    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return (loss, lam, k, slope, intercept) if slope > 0 else None
+
+
+def _sum_evidence(found: list[float], n: int, lam: float, k: float) -> float:
+    cut = np.log(k * max(n, 1))
+    return float(sum(lam * s - cut for s in found if lam * s - cut > -np.log(SIGNIFICANT)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
