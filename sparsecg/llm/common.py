@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import drop as drop
+from ..functions.scratch import written as written
+
 #: Bytes of an Arrow batch that a Python worker gets at once; a batch holds one row at least.
 BATCH_BYTES = 16 << 20
 #: Texts are handled in slices of about so many bytes inside a batch.
@@ -22,44 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sparsecg-")
-
-
-def scratch_base(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there and any executor can read it again.
-
-    The table goes when the driver's process ends, or earlier by drop().
-    """
-    spark = df.sparkSession
-    path = f"{scratch_base(spark)}/sparsecg-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sparsecg_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Removes tables of written() that no later plan reads."""
-    for t in tables:
-        _remove(t.sparkSession, t._sparsecg_path)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes, as one text can be very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
