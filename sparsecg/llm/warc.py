@@ -94,7 +94,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     import html as html_lib
 
     h = dict(headers)
-    payload = block.split(b"\r\n\r\n", 1)[-1]
+    head, _, payload = block.partition(b"\r\n\r\n")
     page = payload.decode("utf-8", "replace")
     text = "\n".join(b.text for b in blocks(page)).encode("utf-8", "replace")
     title, lang = _TITLE.search(page), _LANG.search(page)
@@ -104,7 +104,9 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
         ("charset", "utf-8"),
         ("payloadLength", str(len(payload))),
         ("textLength", str(len(text))),
-        ("sourcePayloadDigest", h["WARC-Payload-Digest"]),
+        ("sourcePayloadDigest", h.get("WARC-Payload-Digest") or digest(payload)),
+        ("sourceBlockDigest", h.get("WARC-Block-Digest") or digest(block)),
+        *[("sourceHeader", x) for x in head.decode("utf-8", "replace").split("\r\n")],
         *[("outlink", html_lib.unescape(m[1] or m[2] or m[3] or "")) for m in _LINK.finditer(page)],
     ]
     about = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode("utf-8", "replace")
@@ -112,9 +114,9 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     out = []
     for kind, body, form in (("conversion", text, "text/plain; charset=utf-8"), ("metadata", about, "application/warc-fields")):
         own = [("WARC-Type", kind), ("WARC-Record-ID", _id(kind, source)), ("WARC-Refers-To", source)]
-        own += [(k, h[k]) for k in KEPT]
-        own += [("WARC-Refers-To-Target-URI", h["WARC-Target-URI"]), ("WARC-Refers-To-Date", h["WARC-Date"])]
-        own += [("WARC-Source-Payload-Digest", h["WARC-Payload-Digest"]), ("WARC-Block-Digest", digest(body)), ("Content-Type", form), ("Content-Length", str(len(body)))]
+        own += [(k, h[k]) for k in KEPT if k in h]
+        own += [("WARC-Refers-To-" + k.removeprefix("WARC-"), h[k]) for k in KEPT if k in h]
+        own += [("WARC-Source-Payload-Digest", h.get("WARC-Payload-Digest") or digest(payload)), ("WARC-Block-Digest", digest(body)), ("Content-Type", form), ("Content-Length", str(len(body)))]
         out.append((own, body))
     return out
 
@@ -140,3 +142,22 @@ def _records(date: str):
 def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     """A row for each record of pages(page_id, url, html): the response and its two derivatives."""
     return arrow_map(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), _records(date), SCHEMA)
+
+
+def _of_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in (x.as_py() for x in b.column(0)):
+            rows = []
+            for headers, block in parse(raw or b""):
+                if headers.get("WARC-Type") == "response":
+                    for own, body in derive(list(headers.items()), block):
+                        h = dict(own)
+                        rows.append((None, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Block-Digest"], None, len(body), record(own, body)))
+            if rows:
+                types = (pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def derivatives_of(records: DataFrame) -> DataFrame:
+    """The derivatives of all response records in records(record), whose rows hold one record or several; null holds none."""
+    return arrow_map(records.select(F.col("record").cast("binary")), _of_records, SCHEMA)

@@ -71,6 +71,8 @@ def test_warc(spark):
     text = next(warc.parse(bytes(r.record))[0][1] for r in got if r.page_id == 1 and r.record_type == "conversion").decode()
     assert "Tom & Ann's été" in text and "<" not in text.replace("<b>", "")
     assert warc.parse(b"".join(bytes(r.record) for r in got))
+    derived = warc.derivatives_of(spark.createDataFrame([(bytearray(r.record),) for r in got if r.record_type == "response"] + [(None,)], "record binary")).collect()
+    assert {bytes(r.record) for r in derived} == {bytes(r.record) for r in got if r.record_type != "response"}
     again = warc.derivatives(spark.createDataFrame([(*r, None, None) for r in rows], PAGE)).collect()
     assert sorted(r.record_id for r in again) == sorted(names)
     assert warc.derivatives(spark.createDataFrame([], PAGE)).count() == 0
