@@ -72,12 +72,12 @@ bip("blas_scal", "SELECT i, 2.5 * v AS v FROM price")(lambda m: vectors.scal(2.5
 bip("blas_scal_zero", "SELECT i, CAST(0 AS DOUBLE) AS v FROM price")(lambda m: vectors.scal(0.0, m.price()))
 bip("blas_axpy", "SELECT h.i, ROUND(2.0 * h.v + p.v, 6) + 0.0 AS v FROM h JOIN price p USING (i)")(lambda m: vectors.axpy(2.0, m.h(), m.price()).select("i", rounded("v")))
 bip("blas_aypx", "SELECT h.i, ROUND(2.0 * p.v + h.v, 6) + 0.0 AS v FROM h JOIN price p USING (i)")(lambda m: vectors.aypx(2.0, m.price(), m.h()).select("i", rounded("v")))
-bip("blas_dot", "SELECT ROUND(SUM(h.v * p.v), 4) + 0.0 AS value FROM h JOIN price p USING (i)")(lambda m: vectors.dot(m.h(), m.price()).select(rounded("value", 4)))
+bip("blas_dot", "SELECT ROUND(SUM(h.v * p.v), 6) + 0.0 AS value FROM h JOIN price p USING (i)")(lambda m: vectors.dot(m.h(), m.price()).select(rounded("value")))
 bip("blas_nrm2", "SELECT ROUND(SQRT(SUM(v * v)), 4) + 0.0 AS value FROM price")(lambda m: vectors.nrm2(m.price()).select(rounded("value", 4)))
-bip("blas_nrm2sqr", "SELECT ROUND(SUM(v * v), 4) + 0.0 AS value FROM h")(lambda m: vectors.nrm2sqr(m.h()).select(rounded("value", 4)))
+bip("blas_nrm2sqr", "SELECT ROUND(SUM(v * v), 6) + 0.0 AS value FROM h")(lambda m: vectors.nrm2sqr(m.h()).select(rounded("value")))
 bip("blas_asum", "SELECT ROUND(SUM(ABS(v)), 4) + 0.0 AS value FROM price")(lambda m: vectors.asum(m.price()).select(rounded("value", 4)))
 bip("blas_iamax", "SELECT i FROM price ORDER BY ABS(v) DESC, i LIMIT 1")(lambda m: vectors.iamax(m.price()))
-bip("blas_dot_parts", "SELECT p, ROUND(SUM(h.v * x.v), 4) + 0.0 AS value FROM h JOIN price x USING (i) JOIN rp USING (i) GROUP BY p")(lambda m: vectors.dot_by_part(m.h(), m.price(), m.range_parts()).select("p", rounded("value", 4)))
+bip("blas_dot_parts", "SELECT p, ROUND(SUM(h.v * x.v), 6) + 0.0 AS value FROM h JOIN price x USING (i) JOIN rp USING (i) GROUP BY p")(lambda m: vectors.dot_by_part(m.h(), m.price(), m.range_parts()).select("p", rounded("value")))
 bip("sp_dot", "SELECT ROUND(SUM(px.v * h.v), 6) + 0.0 AS value FROM px JOIN h USING (i)")(lambda m: vectors.sparse_dot(m.packed(), m.h()).select(rounded("value")))
 bip("sp_axpy", "SELECT h.i, ROUND(h.v + 2.0 * COALESCE(s, 0), 6) + 0.0 AS v FROM h LEFT JOIN (SELECT i, SUM(v) AS s FROM px GROUP BY i) USING (i)")(lambda m: vectors.sparse_axpy(2.0, m.packed(), m.h()).select("i", rounded("v")))
 bip("sp_gather", "SELECT pos, px.i, h.v FROM px JOIN h USING (i)")(lambda m: vectors.gather(m.packed(), m.h()))
@@ -211,7 +211,7 @@ def _op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _query(
     "op_stats",
     SQL_BIP + ", z AS (SELECT (SELECT COUNT(*) FROM F) AS z, n FROM nn)",
-    "SELECT 'gemv' AS op, 5 AS calls, 10 * (z + n) AS flops, 5 * (12 * z + 24 * n) AS bytes FROM z UNION ALL SELECT 'dot', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'nrm2sqr', 5, 10 * n, 40 * n FROM z UNION ALL SELECT 'axpy', 10, 20 * n, 160 * n FROM z UNION ALL SELECT 'aypx', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'scal', 5, 0, 40 * n FROM z",
+    "SELECT op, CAST(calls AS BIGINT) AS calls, CAST(flops AS BIGINT) AS flops, CAST(bytes AS BIGINT) AS bytes FROM (SELECT 'gemv' AS op, 5 AS calls, 10 * (z + n) AS flops, 5 * (12 * z + 24 * n) AS bytes FROM z UNION ALL SELECT 'dot', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'nrm2sqr', 5, 10 * n, 40 * n FROM z UNION ALL SELECT 'axpy', 10, 20 * n, 160 * n FROM z UNION ALL SELECT 'aypx', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'scal', 5, 0, 40 * n FROM z)",
 )(_op_stats)
 
 
