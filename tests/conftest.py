@@ -28,3 +28,33 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _plain(v):
+    if hasattr(v, "item"):
+        v = v.item()
+    return round(v, 9) + 0.0 if isinstance(v, float) else v
+
+
+def _rows(df):
+    return sorted(repr(tuple(_plain(v) for v in r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+
+
+@pytest.fixture(scope="session")
+def same_rows(sf_dir):
+    """A check that a DataFrame and a DuckDB query over the same tables give the same columns and rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+
+    def check(df, sql):
+        got, want = df.toPandas(), con.execute(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        assert _rows(got) == _rows(want)
+
+    return check
