@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
@@ -38,6 +38,8 @@ _CONTROL = re.compile(r"<(?=\||/?s>)|\[(?=/?INST\])")
 LOSS_ROLE = "assistant"
 #: Bytes of a digest in a node's path.
 STEP = 12
+#: Tokens of the stream that share a bucket when ranges are read back.
+BUCKET = 4096
 
 
 def escape(text: str) -> str:
@@ -118,23 +120,52 @@ def _tokens(path: str):
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted nodes of one partition: adds the partition and the tokens before each node in it."""
+    """Sorted nodes of one partition: adds the partition, the tokens before each node in it, and its ancestors.
+
+    Ancestors inside the partition are ranges of its own tokens, merged where one follows the other; those before it
+    are the first `outer` ancestors of the partition's first node, as a subtree has no gaps in depth-first order.
+    """
     from pyspark import TaskContext
 
-    part, seen = TaskContext.get().partitionId(), 0
+    part, seen, outer = TaskContext.get().partitionId(), 0, None
+    stack: list[tuple[int, tuple]] = []  # depth and merged ranges of the open nodes of this partition
     for b in batches:
-        n = b.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = seen + np.cumsum(n)
-        if len(ends):
-            seen = int(ends[-1])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(n), pa.array(ends - n)], [*b.schema.names, "part", "n", "before"])
+        depths, sizes = b.column(2).to_pylist(), b.column(3).value_lengths().to_pylist()
+        before, outers, ranges = [], [], []
+        for depth, n in zip(depths, sizes, strict=True):
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            outer = depth if outer is None else min(outer, depth)
+            above = stack[-1][1] if stack else ()
+            if above and above[-1][1] == seen:
+                own = (*above[:-1], (above[-1][0], seen + n))
+            else:
+                own = (*above, (seen, seen + n))
+            stack.append((depth, own))
+            before.append(seen)
+            outers.append(outer)
+            ranges.append([{"start": x, "end": y} for x, y in own])
+            seen += n
+        k = b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(k, part, np.int32)), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), pa.array(outers, pa.int32()), pa.array(ranges, _RANGES)], [*b.schema.names, "part", "n", "before", "outer", "ranges"])
+
+
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges with those that follow each other made one."""
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), x["end"].alias("end"))))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == x["start"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(ranges, F.array().cast("array<struct<start: bigint, end: bigint>>"), step)
 
 
 class Tree:
     """nodes and leaves of the prefix tree of conversations(conv_id, turn, role, text).
 
     nodes: node, depth, stream_start, n_tokens, tokens, position_ids, loss_lo, loss_hi (places in tokens under the loss
-    mask), attends (ranges of the stream, the ancestors' from the root on and its own). leaves: conv_id, node.
+    mask), attends (merged ranges of the stream, the ancestors' from the root on and its own). leaves: conv_id, node.
     """
 
     def __init__(self, conversations: DataFrame, tokenizer_path: str):
@@ -147,23 +178,33 @@ class Tree:
         tokens = arrow_map(distinct, _tokens(tokenizer_path), "node binary, path binary, depth int, tokens array<int>, loss_lo int, loss_hi int")
         tokens = written(tokens, "tokens")  # sampled and sorted from one table
         ordered = tokens.repartitionByRange(F.col("path")).sortWithinPartitions("path")
-        placed = written(arrow_map(ordered, _running, "node binary, path binary, depth int, tokens array<int>, loss_lo int, loss_hi int, part int, n long, before long"), "placed")
-        totals = placed.groupBy("part").agg(F.sum("n").alias("t"))  # a row for each partition
-        shift = totals.select("part", (F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("shift"))
-        placed = placed.join(shift, "part").select("node", "path", "depth", "tokens", "loss_lo", "loss_hi", "n", (F.col("before") + F.col("shift")).alias("stream_start"))
-        spans = written(placed.select("path", "stream_start", "n"), "spans")
-        above = placed.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") + 1), lambda k: F.substring(F.col("path"), F.lit(1), k * STEP))).alias("path"))
-        ranges = above.join(spans, "path").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("stream_start").alias("start"), (F.col("stream_start") + F.col("n")).alias("end")))).alias("attends"))  # as many as turns
-        first = F.aggregate("attends", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"]) - F.col("n")
-        out = placed.join(ranges, "node").withColumn("first", first)
+        fields = "node binary, path binary, depth int, tokens array<int>, loss_lo int, loss_hi int, part int, n long, before long, outer int, ranges array<struct<start: bigint, end: bigint>>"
+        placed = written(arrow_map(ordered, _running, fields), "placed")
+        totals = placed.groupBy("part").agg(F.sum("n").alias("t"), F.min("path").alias("path"))  # a row for each partition
+        shift = totals.select("part", "path", (F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("shift"))
+        shift = written(shift, "shift")
+        spans = placed.join(shift.drop("path"), "part").select("path", (F.col("before") + F.col("shift")).alias("start"), (F.col("before") + F.col("shift") + F.col("n")).alias("end"))
+        # the ancestors of each partition's first node
+        levels = F.length("path") / STEP
+        above = shift.where(levels > 1).select("part", F.explode(F.transform(F.sequence(F.lit(1), (levels - 1).cast("int")), lambda k: F.substring(F.col("path"), F.lit(1), k * STEP))).alias("path"))
+        firsts = above.join(spans, "path").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("above"))
+        known = written(shift.drop("path").join(firsts, "part", "left"), "firsts")
+        moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("shift")).alias("start"), (r["end"] + F.col("shift")).alias("end")))
+        attends = F.when(F.col("outer") == 0, moved).otherwise(_merged(F.concat(F.slice("above", F.lit(1), F.col("outer")), moved)))
+        out = placed.join(known, "part").withColumn("attends", attends).withColumn("stream_start", F.col("before") + F.col("shift"))
+        out = out.withColumn("first", F.aggregate("attends", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"]) - F.col("n"))
         positions = F.when(F.col("n") == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
         self.nodes = written(out.select("node", "depth", "stream_start", F.col("n").alias("n_tokens"), "tokens", positions.alias("position_ids"), "loss_lo", "loss_hi", "attends"), "nodes")
 
     def read_back(self) -> DataFrame:
         """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from tokens and intervals alone."""
         ends = self.leaves.select("node").distinct()
-        ranges = self.nodes.join(ends, "node").select("node", F.posexplode("attends").alias("k", "r")).select("node", "k", F.col("r.start").alias("stream_start"))
-        parts = ranges.join(self.nodes.where("n_tokens > 0").select("stream_start", "tokens", "loss_lo", "loss_hi"), "stream_start")
+        ranges = self.nodes.join(ends, "node").select("node", F.explode("attends").alias("r")).select("node", "r.start", "r.end")
+        # nodes that begin inside a range, met by buckets of the stream
+        cut = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))
+        ranges = ranges.where("end > start").withColumn("b", F.explode(cut))
+        there = self.nodes.where("n_tokens > 0").select(F.floor(F.col("stream_start") / BUCKET).alias("b"), F.col("stream_start").alias("k"), "tokens", "loss_lo", "loss_hi")
+        parts = ranges.join(there, (ranges["b"] == there["b"]) & (there["k"] >= ranges["start"]) & (there["k"] < ranges["end"])).drop("b")
         whole = parts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "tokens", "loss_lo", "loss_hi"))).alias("parts"))  # as many as turns
         digests = arrow_map(whole, _parse(self.tokenizer_path), "node binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
         return self.leaves.join(digests, "node").drop("node")

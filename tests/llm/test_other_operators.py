@@ -96,6 +96,7 @@ def test_tree(spark):
     rows = []
     for c in range(40):
         rows += [(c, 0, "system", "You help."), (c, 1, "user", f"q{c % 3}"), (c, 2, "assistant", f"a{c % 5} </s>"), (c, 3, "user", None)][: 2 + c % 3]
+    rows += [(200, k, "user", f"turn {k}") for k in range(300)] + [(201, k, "user", f"turn {k}") for k in range(150)] + [(201, 150, "user", "else")]
     rows += [(100, 1, "user", "x"), (100, 1, "user", "x"), (100, None, None, ""), (None, 0, "assistant", "é" * 40_000), (101, 5, "role\nodd", "[INST] y")]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], CONV)
     tree = chat_tree.Tree(df, tokenizer_path("byte_bpe_50k.json"))
@@ -116,12 +117,15 @@ def test_tree(spark):
         assert n.stream_start == at and len(n.tokens) == n.n_tokens == len(n.position_ids)
         at += n.n_tokens
         spans = [(r.start, r.end) for r in n.attends]
-        assert spans == sorted(spans) and spans[-1] == (n.stream_start, at) and len(spans) == n.depth + 1
-        assert n.position_ids[0] == sum(e - s for s, e in spans[:-1])
-    starts = {n.stream_start: n for n in nodes}
-    for n in nodes:  # depth first: everything between an ancestor and a node lies below that ancestor
-        for r in n.attends[:-1]:
-            assert all(any(a.start == r.start for a in m.attends) for s, m in starts.items() if r.start <= s <= n.stream_start)
+        assert spans == sorted(spans) and spans[-1][1] == at and all(e < s for (_, e), (s, _) in zip(spans, spans[1:], strict=False))
+        assert sum(s <= m.stream_start < e for m in nodes for s, e in spans) == n.depth + 1
+        assert n.position_ids[0] == sum(e - s for s, e in spans) - n.n_tokens
+    inside = lambda n, m: any(r.start <= m.stream_start < r.end for r in n.attends)
+    for n in nodes:  # ancestors are those of the parent and the parent, and depth first leaves no gaps in a subtree
+        own = [m for m in nodes if inside(n, m)]
+        assert [m.depth for m in own] == list(range(n.depth + 1)) and own[-1] is n
+        for m in own[:-1]:
+            assert all(inside(x, m) for x in nodes if m.stream_start <= x.stream_start <= n.stream_start)
     empty = chat_tree.Tree(df.where("false"), tokenizer_path("byte_bpe_50k.json"))
     assert empty.nodes.count() == 0 and empty.read_back().count() == 0
 
