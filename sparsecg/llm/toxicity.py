@@ -234,33 +234,40 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
 
 
 def _calibration(halves: list[tuple[np.ndarray, np.ndarray]]):
-    """For each level of confidence: the segments' scores of each text, and counts of word scores in tenths for clean ones."""
+    """For each level of confidence: the segments' scores of each text, and one row (toxic -1) of a task's counts of the
+
+    word scores of clean texts in tenths.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(*h) for h in halves]
+        tenths = np.zeros((len(halves), 256), np.int64)
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        names = ["z", "toxic", "n", "segments", "counts"]
         for b in batches:
             out = []
             for toxic, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
                 words = words_of(text)
                 for k, scorer in enumerate(scorers):
                     s = scorer.scores(words)
-                    tenths = np.bincount(np.rint(np.maximum(s, 0) * 10).astype(int)).tolist() if toxic == 0 else []
-                    out.append((k, toxic, len(words), [x for *_, x in segments(s)], tenths))
+                    if toxic == 0:
+                        tenths[k] += np.bincount(np.minimum(np.rint(np.maximum(s, 0) * 10), 255).astype(int), minlength=256)
+                    out.append((k, toxic, len(words), [x for *_, x in segments(s)], None))
             if out:
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["z", "toxic", "n", "segments", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        out = [(k, -1, 0, None, t.tolist()) for k, t in enumerate(tenths)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
 
 def _calibrate(rows: list) -> tuple[float, float, float, float, float] | None:
     """Log loss, lambda, K, slope and intercept on the rows of one level of confidence; none if a class is missing."""
+    counts = np.sum([r.counts for r in rows if r.toxic < 0], axis=0)
+    rows = [r for r in rows if r.toxic >= 0]
     y = np.array([r.toxic for r in rows], float)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    counts = np.zeros(max((len(r.counts) for r in rows), default=0) + 1)
-    for r in rows:
-        counts[: len(r.counts)] += r.counts
     score = np.where(np.arange(len(counts)) > 0, np.arange(len(counts)) / 10, -DRIFT)
     lam = _lambda(counts / max(counts.sum(), 1), score)
     chance = sum(max(r.n, 1) * np.exp(-lam * max(r.segments, default=0.0)) for r in rows if r.toxic == 0)
