@@ -40,7 +40,7 @@ PRIOR = 0.5
 CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
 DRIFT = 0.2
 SIGNIFICANT = 0.05
-CALIBRATION_ROWS = 20_000
+CALIBRATION_ROWS = 8_000
 THRESHOLD = 0.7
 #: A bucket seen in fewer toxic documents has no lower bound above zero.
 LEAST_TOXIC = 3
