@@ -3,12 +3,16 @@
 A text is cut into lines at line feeds. A rolling hash over the hashes of the last WINDOW lines decides, by
 content alone, after which lines a chunk ends, so a chunk that two documents share is cut alike wherever it
 stands. A line of LONG_WORDS words or more is a passage of its own and forms one chunk; other chunks have two
-lines at least to count. Chunks of equal 128-bit digest in two or more places are compared byte by byte (the
-texts of all places are grouped by their bytes); the first place by doc_id, then text hash and chunk stays and
-the others go.
+lines at least to count. Besides chunks, passages are taken, whatever chunks they meet: from every line that has
+words, the shortest run of lines that starts there, and the shortest that ends there, with LONG_WORDS words. Any
+run of lines that a text shares with another and that has LONG_WORDS words is covered by such passages whole,
+into however many lines it may be laid out. Chunks and passages, called spans below, of equal 128-bit digest in
+two or more places are compared byte by byte (the texts of all places are grouped by their bytes); the first place
+by doc_id, then text hash and line stays and the others go, but for those that overlap the first one in its own
+text. A line that goes has an equal line at an earlier place, so one copy of each line is left.
 
-Only digests are shuffled for all chunks; bytes travel for repeated chunks alone. A chunk that a third of all
-documents share is combined before the shuffle and joined as a skewed key; per document only its own chunks meet.
+Only digests are shuffled for all spans; bytes travel for repeated spans alone. A span that a third of all
+documents share is combined before the shuffle and joined as a skewed key; per document only its own spans meet.
 
 Defined results: null text stays null; rows that repeat doc_id and text are one document and get the same result;
 rows without doc_id stay as they are; ties in place can't occur, as place is unique within a document; empty
@@ -17,7 +21,8 @@ texts have one empty line and lose nothing; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +61,38 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passages(lines: list[str]) -> list[tuple[int, int]]:
+    """Shortest runs of two lines or more with LONG_WORDS words that start or end at a line with words."""
+    words = [len(x.split()) for x in lines]
+    at = [i for i, w in enumerate(words) if w]
+    if sum(words) < LONG_WORDS:
+        return []
+    out, end, held = set(), 0, 0
+    for k, i in enumerate(at):  # held: words of the lines at[k:end]
+        while end < len(at) and held < LONG_WORDS:
+            held += words[at[end]]
+            end += 1
+        if held < LONG_WORDS:
+            break
+        out.add((i, at[end - 1] + 1))
+        held -= words[i]
+    start, held = 0, 0
+    for i in at:
+        held += words[i]
+        while held - words[at[start]] >= LONG_WORDS:
+            held -= words[at[start]]
+            start += 1
+        if held >= LONG_WORDS:
+            out.add((at[start], i + 1))
+    return [(a, z) for a, z in out if z - a > 1]
+
+
+def spans(lines: list[str]) -> list[tuple[int, int]]:
+    """Chunks and passages: all that can be removed if it repeats."""
+    return sorted({*chunk_lines(lines), *passages(lines)})
+
+
+def _digests(batches: Iterator[pa.RecordBatch], cut: Callable[[list[str]], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, keys = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         texts = b.column(2).to_pylist()
@@ -64,7 +100,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, first, last, digest = [], [], [], []
             for i in range(lo, hi):
                 lines = texts[i].split("\n")
-                for a, z in chunk_lines(lines):
+                for a, z in cut(lines):
                     row.append(i)
                     first.append(a)
                     last.append(z)
@@ -101,17 +137,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, removed in zip((x.as_py() for x in b.column(1)), (x.as_py() for x in b.column(2)), strict=True):
             lines = text.split("\n") if text is not None else []
             n.append(len(lines))
-            gone.append(sum(c["hi"] - c["lo"] for c in removed or ()))
-            for c in sorted(removed or (), key=lambda c: -c["lo"]):
-                del lines[c["lo"] : c["hi"]]
-            texts.append(None if text is None else "\n".join(lines))
+            out = bytearray(len(lines))  # spans may overlap
+            for c in removed or ():
+                out[c["lo"] : c["hi"]] = b"\1" * (c["hi"] - c["lo"])
+            gone.append(sum(out))
+            texts.append(None if text is None else "\n".join(x for x, o in zip(lines, out, strict=True) if not o))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), lo, hi: the chunks of docs(doc_id, text) that repeat an earlier place."""
+def repeated(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int, int]]]) -> DataFrame:
+    """doc_id, key (hash of the text), lo, hi: the runs of lines by cut of docs(doc_id, text) that repeat an earlier place."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    chunks = written(arrow_map(rows, _digests, "doc_id long, key long, lo int, hi int, h1 long, h2 long").dropDuplicates(["doc_id", "key", "lo"]), "chunks")
+    chunks = written(arrow_map(rows, partial(_digests, cut=cut), "doc_id long, key long, lo int, hi int, h1 long, h2 long").dropDuplicates(["doc_id", "key", "lo", "hi"]), "chunks")
     # what joins meet is stored first, so that both sides are plain exchanges and a very common chunk can be split
     twice = written(chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"), "twice")
     places = written(chunks.join(twice, ["h1", "h2"]), "places")
@@ -121,13 +158,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     sure = same.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n = 1").select("h1", "h2")
     first = places.where("doc_id = first").groupBy("h1", "h2").agg(F.min(F.struct("key", "lo")).alias("at"))
     verdict = written(sure.join(first, ["h1", "h2"]), "verdict")
-    gone = places.join(verdict, ["h1", "h2"]).where("not (doc_id = first and key = at.key and lo = at.lo)")
+    gone = places.join(verdict, ["h1", "h2"]).where("not (doc_id = first and key = at.key and lo < at.lo + hi - lo)")
     return written(gone.select("doc_id", "key", "lo", "hi"), "removed")
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs but text), text cut to what no earlier place has, n_lines before, n_removed."""
-    gone = repeated_chunks(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")).hint("shuffle_hash")
+def remove_repeated(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int, int]]] = chunk_lines) -> DataFrame:
+    """row (all columns of docs but text), text cut to what no earlier place has, n_lines before, n_removed.
+
+    cut says which runs of lines can go: chunks alone by default; cleaned and the query op3 take spans.
+    """
+    gone = repeated(docs, cut).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")).hint("shuffle_hash")
     text = docs["text"].cast("string")
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(text) == gone["key"]), "left")
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
@@ -137,7 +177,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with the lines gone, and n_chars, if there, brought up to date where lines went."""
-    out = remove_repeated(docs)
+    out = remove_repeated(docs, spans)
     cols = []
     for f in docs.schema:
         c = F.col("text").cast(f.dataType) if f.name == "text" else F.col(f"row.`{f.name}`")

@@ -27,7 +27,7 @@ def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), line_chunks.spans)
     return out.select("row.doc_id", "text", "n_lines", "n_removed")
 
 

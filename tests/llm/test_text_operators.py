@@ -211,6 +211,70 @@ def test_long_passage_goes_wherever_it_stands(spark):
     assert got[3] == "first 3\nlast 3 of these"
 
 
+def slow_passages(rows):
+    """Row to the lines of runs with 50 words or more that an earlier row has too."""
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        lines = t.split("\n")
+        for _, u in rows[:k]:
+            other = u.split("\n")
+            for a in range(len(lines)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(lines) and b + n < len(other) and lines[a + n] == other[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[a : a + n]) >= 50:
+                        out.setdefault(i, set()).update(range(a, a + n))
+    return out
+
+
+def test_passage_of_short_lines_goes_whole(spark):
+    rng, rows, passages = np.random.default_rng(1), [], {}
+    fresh = lambda n: "\n".join(f"own {rng.integers(1 << 60)} line" for _ in range(n))
+    for n in range(2, 9):
+        for p in range(6):
+            words = [f"p{n}x{p}x{k}" for k in range(56)]
+            passage = "\n".join(" ".join(x) for x in np.array_split(words, n))
+            for _ in range(4):
+                passages[len(rows)] = passage
+                rows.append((len(rows), f"{fresh(rng.integers(1, 5))}\n{passage}\n{fresh(rng.integers(1, 5))}"))
+    for out in (line_chunks.cleaned(docs(spark, rows)), line_chunks.remove_repeated(docs(spark, rows), line_chunks.spans).select("row.doc_id", "text")):
+        got = {r.doc_id: r.text for r in out.collect()}
+        for i, t in rows:
+            assert got[i] == (t if i % 4 == 0 else t.replace(passages[i] + "\n", ""))
+
+
+def test_passages_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    pool = [" ".join(f"q{k}x{j}" for j in range(rng.choice([0, 1, 6, 13, 24, 49, 60]))) for k in range(120)]
+    rows = []
+    for i in range(40):
+        lines = []
+        while len(lines) < 12:
+            a = rng.integers(0, 120)
+            lines += [*pool[a : a + rng.integers(1, 7)], f"own {i} {len(lines)}"]
+        rows.append((i, "\n".join(lines)))
+    want = slow_passages(rows)
+    gone = {}
+    for r in line_chunks.repeated(docs(spark, rows), line_chunks.passages).collect():
+        gone.setdefault(r.doc_id, set()).update(range(r.lo, r.hi))
+    got = {r.doc_id: r.text for r in line_chunks.cleaned(docs(spark, rows)).collect()}
+    left = [x for t in got.values() for x in t.split("\n")]
+    assert len(want) > 20
+    for i, t in rows:
+        lines = t.split("\n")
+        # a line of 50 words alone is a chunk; white lines at the ends of a run may stay
+        assert {k for k in want.get(i, ()) if 0 < len(lines[k].split()) < 50} <= gone.get(i, set())
+        assert not any(x in got[i].split("\n") for x in {lines[k] for k in want.get(i, ())} - {lines[k] for k in set(range(len(lines))) - want.get(i, set())} if x)
+        assert all(x in left for x in lines if x)
+
+
+def test_passage_that_overlaps_itself_keeps_its_first_place(spark):
+    line = " ".join(f"w{k}" for k in range(12))
+    out = line_chunks.remove_repeated(docs(spark, [(1, "\n".join([line] * 12))]), line_chunks.passages).collect()
+    assert [(r.text, r.n_lines, r.n_removed) for r in out] == [("\n".join([line] * 5), 12, 7)]
+
+
 def test_chunks_resist_shifts():
     lines = [f"line {k * 7919 % 1000}" for k in range(200)]
     a = {"\n".join(lines[x:y]) for x, y in line_chunks.chunk_lines(lines)}
