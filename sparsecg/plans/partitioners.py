@@ -28,14 +28,14 @@ def hashed(nodes: DataFrame, nparts: int) -> DataFrame:
     return nodes.select("i", F.pmod(F.xxhash64("i"), F.lit(nparts)).cast("int").alias("p"))
 
 
-def growing(edges: DataFrame, nodes: DataFrame, n: int, nparts: int, rounds: int = 50) -> DataFrame:
+def growing(edges: DataFrame, nodes: DataFrame, n: int, nparts: int) -> DataFrame:
     """i, p: parts grown level by level from evenly spaced seeds; nodes that no seed reaches are dealt by range."""
     seeds = [(k * n) // nparts for k in range(nparts)]
     both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
     spark = edges.sparkSession
     state = written(nodes.join(F.broadcast(spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "i long, p int").dropDuplicates(["i"])), "i", "left"), "grown")
     seen = -1
-    for _ in range(rounds):
+    while True:  # a round for each level, as many as the graph has; every one but the last reaches a node
         reached = both.join(state.where("p is not null").select(F.col("i").alias("u"), "p"), "u").groupBy(F.col("v").alias("i")).agg(F.min("p").alias("q"))
         new = written(state.join(reached, "i", "left").select("i", F.coalesce("p", "q").alias("p")), "grown")
         drop(state)

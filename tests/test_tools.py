@@ -19,6 +19,17 @@ def test_partitioners_cover_and_cut_little(spark):
     assert partition.edge_cut(e, partitioners.bisection(e, n, 4)).first().edgecut == 3
 
 
+def test_growing_reaches_beyond_fifty_levels(spark):
+    n = 130
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
+    e = e.selectExpr(f"(u * 61) % {n} u", f"(v * 61) % {n} v")  # a chain whose order isn't that of the numbers
+    nodes = spark.range(n).withColumnRenamed("id", "i")
+    got = {r.i: r.p for r in partitioners.growing(e, nodes, n, 2).collect()}
+    chain = [got[i * 61 % n] for i in range(n)]
+    # two seeds on the chain, each part one stretch of it
+    assert sum(a != b for a, b in zip(chain, chain[1:])) == 1
+
+
 def test_dissection_is_a_permutation_with_separators_last(spark):
     n = 31
     e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
