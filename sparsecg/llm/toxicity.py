@@ -11,18 +11,22 @@ all maximal scoring segments (each is a passage no neighbouring words could impr
 number of segments of score S that n clean words hold by chance is about K n exp(-lambda S); lambda solves
 E[exp(lambda s)] = 1 over clean tokens and K makes the expectation right for clean documents. Segments whose
 expectation is under SIGNIFICANT are the passages; a document's evidence is the sum of lambda S - log(K n) over
-them, which a two-parameter logistic maps to a probability. lambda, K and the logistic are fitted on about
-CALIBRATION_ROWS labelled rows of one fold at most, scored with log-odds learned from the other; the log-odds themselves
-count every labelled training row, and every text is scored whole.
+them, which a two-parameter logistic maps to a probability. One fold is scored with log-odds learned from the other:
+lambda and K come from all its clean rows, whose word scores and best segments are counted in bins by the executors;
+the logistic from about CALIBRATION_ROWS of its rows, half of them toxic where there are so many, weighted
+back to the shares of the classes. The log-odds count every distinct text of the training rows, and every text is
+scored whole.
 
 Defined results: null or empty texts have no words and get the score of a document without passages; rows
 without a label, or with a null or other label, teach nothing; with no toxic or no clean training row all scores
-are 0; rows that repeat a text teach once; an empty table gives an empty result; other columns are ignored.
+are 0; with one class alone in the calibration fold, slope and intercept are fixed (1 and -3), with a warning; rows
+that repeat a text teach once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +45,8 @@ CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
 DRIFT = 0.2
 SIGNIFICANT = 0.05
 CALIBRATION_ROWS = 8_000
+#: Bins for the best segments of clean rows: hundredths, beyond which a segment has no weight in K.
+BEST_BINS = 20_000
 THRESHOLD = 0.7
 #: A bucket seen in fewer toxic documents has no lower bound above zero.
 LEAST_TOXIC = 3
@@ -170,14 +176,14 @@ def _lambda(share: np.ndarray, score: np.ndarray) -> float:
     return lo
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by penalised Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept by penalised Newton steps over weighted rows."""
     z = np.stack([x, np.ones_like(x)], 1)
     w = np.zeros(2)
     ridge = np.diag([1e-3, 1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (p - y)) + ridge @ w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -218,64 +224,87 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
         return got[w > 0, 0], w[w > 0]
 
     halves = [weights(got[:, 1], got[:, 3], rows_n[0], rows_n[2], z) for z in CONFIDENCES]
-    # rows under a place in the order of a hash, set so that about calibration_rows of them are
-    share = min(1.0, calibration_rows / max(int(rows_n[1] + rows_n[3]), 1))
-    sample = train.where((F.col("fold") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))).select("toxic", "text")
-    found = arrow_map(sample, _calibration(halves), "z int, toxic int, n long, segments array<double>, counts array<long>").collect()  # rows of the sample
+    # rows of each class under a place in the order of a hash, set so that about calibration_rows of them are
+    shares = sample_shares(int(rows_n[1]), int(rows_n[3]), calibration_rows)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    sampled = place < F.when(F.col("toxic") == 1, int(1_000_000 * shares[1])).otherwise(int(1_000_000 * shares[0]))
+    fold_rows = train.where("fold = 1").select("toxic", sampled.alias("sampled"), "text").where("toxic = 0 or sampled")
+    scored = written(arrow_map(fold_rows, _calibration(halves), "z int, toxic int, n long, segments array<double>, bin int, weight long"), "calibration")
+    found = scored.where("bin is null").select("z", "toxic", "n", "segments").collect()  # rows of the sample
+    bins = scored.where("bin is not null").groupBy("z", "bin").agg(F.sum("weight").alias("weight")).collect()  # 256 + BEST_BINS a level at most
     best = None
     for k, z in enumerate(CONFIDENCES):
-        fitted = _calibrate([r for r in found if r.z == k])
+        totals = np.zeros(256 + BEST_BINS, np.int64)
+        for r in bins:
+            if r.z == k:
+                totals[r.bin] = r.weight
+        fitted = _calibrate([r for r in found if r.z == k], totals, int(rows_n[1]), shares)
         if fitted and (best is None or fitted[0] < best[0]):
             best = (*fitted, z)
-    if best is None:  # one class alone in the sample
+    if best is None:  # one class alone in the fold
+        warnings.warn("toxicity: the calibration fold has no rows of one class, or they don't differ", stacklevel=2)
         return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], CONFIDENCES[0]), 1.0, 1.0, 1.0, -3.0)
     _, lam, chance, slope, intercept, z = best
     return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], z), lam, chance, slope, intercept)
 
 
+def sample_shares(clean: int, toxic: int, rows: int) -> tuple[float, float]:
+    """The shares of clean and of toxic rows that are about so many together, half of them toxic where there are so many."""
+    some = max(min(toxic, rows // 2), rows - clean)
+    return min(1.0, (rows - min(some, toxic)) / max(clean, 1)), min(1.0, some / max(toxic, 1))
+
+
 def _calibration(halves: list[tuple[np.ndarray, np.ndarray]]):
-    """For each level of confidence: the segments' scores of each text, and one row (toxic -1) of a task's counts of the
+    """toxic, sampled, text -> for each level of confidence the segments' scores of each sampled text, and a task's
 
-    word scores of clean texts in tenths.
+    counts over clean texts by bin: words by score in tenths (bins under 256), and words by the best segment of
+    their text in hundredths (bins from 256).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(*h) for h in halves]
-        tenths = np.zeros((len(halves), 256), np.int64)
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
-        names = ["z", "toxic", "n", "segments", "counts"]
+        totals = np.zeros((len(halves), 256 + BEST_BINS), np.int64)
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int64())
+        names = ["z", "toxic", "n", "segments", "bin", "weight"]
         for b in batches:
             out = []
-            for toxic, text in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
+            for toxic, sampled, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True):
                 words = words_of(text)
                 for k, scorer in enumerate(scorers):
                     s = scorer.scores(words)
+                    found = [x for *_, x in segments(s)]
                     if toxic == 0:
-                        tenths[k] += np.bincount(np.minimum(np.rint(np.maximum(s, 0) * 10), 255).astype(int), minlength=256)
-                    out.append((k, toxic, len(words), [x for *_, x in segments(s)], None))
+                        totals[k, :256] += np.bincount(np.minimum(np.rint(np.maximum(s, 0) * 10), 255).astype(int), minlength=256)
+                        totals[k, 256 + min(round(100 * max(found, default=0.0)), BEST_BINS - 1)] += max(len(words), 1)
+                    if sampled:
+                        out.append((k, toxic, len(words), found, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        out = [(k, -1, 0, None, t.tolist()) for k, t in enumerate(tenths)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        out = [(k, None, None, None, i, int(totals[k, i])) for k, i in np.argwhere(totals).tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
 
-def _calibrate(rows: list) -> tuple[float, float, float, float, float] | None:
-    """Log loss, lambda, K, slope and intercept on the rows of one level of confidence; none if a class is missing."""
-    counts = np.sum([r.counts for r in rows if r.toxic < 0], axis=0)
-    rows = [r for r in rows if r.toxic >= 0]
+def _calibrate(rows: list, totals: np.ndarray, n_clean: int, shares: tuple[float, float]) -> tuple[float, float, float, float, float] | None:
+    """Log loss, lambda, K, slope and intercept at one level of confidence; none if a class is missing.
+
+    totals: counts over all n_clean clean rows by bin; rows: the sample, which holds shares of both classes.
+    """
+    counts, best = totals[:256], totals[256:]
     y = np.array([r.toxic for r in rows], float)
     if not (y == 1).any() or not (y == 0).any():
         return None
     score = np.where(np.arange(len(counts)) > 0, np.arange(len(counts)) / 10, -DRIFT)
     lam = _lambda(counts / max(counts.sum(), 1), score)
-    chance = sum(max(r.n, 1) * np.exp(-lam * max(r.segments, default=0.0)) for r in rows if r.toxic == 0)
-    k = float(np.clip((y == 0).sum() / chance, 1e-6, 1.0)) if chance > 0 else 1.0
+    chance = float((best * np.exp(-lam * np.arange(len(best)) / 100)).sum())
+    k = float(np.clip(n_clean / chance, 1e-6, 1.0)) if chance > 0 else 1.0
     x = np.array([_sum_evidence(r.segments, r.n, lam, k) for r in rows])
-    slope, intercept = _logistic(x, y)
+    weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+    slope, intercept = _logistic(x, y, weight)
     p = np.clip(1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30))), 1e-9, 1 - 1e-9)
-    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    loss = float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=weight))
     return (loss, lam, k, slope, intercept) if slope > 0 else None
 
 

@@ -429,6 +429,21 @@ def test_held_out_labels_do_not_matter(spark, labelled):
     assert (a.weights == b.weights).all() and a.slope == pytest.approx(b.slope)
 
 
+def test_sample_does_not_bound_the_word_statistics(spark, labelled, monkeypatch):
+    d, labels = labelled
+    monkeypatch.setattr(toxicity, "CONFIDENCES", (2.0,))
+    few, all_rows = toxicity.fit(d, labels, 16), toxicity.fit(d, labels)
+    assert (few.lam, few.k) == (all_rows.lam, all_rows.k)
+    assert (few.slope, few.intercept) != (1.0, -3.0)  # both classes are in the sample
+
+
+def test_sample_shares():
+    assert toxicity.sample_shares(90, 10, 8000) == (1.0, 1.0)
+    assert toxicity.sample_shares(2_000_000, 1000, 8000) == (7000 / 2_000_000, 1.0)
+    assert toxicity.sample_shares(2_000_000, 40_000, 8000) == (4000 / 2_000_000, 4000 / 40_000)
+    assert toxicity.sample_shares(3000, 40_000, 8000) == (1.0, 5000 / 40_000)
+
+
 def test_without_labels(spark, labelled):
     d, labels = labelled
     assert toxicity.score(d, toxicity.fit(d, labels.where("false"))).agg(F.max("score")).first()[0] < 1e-9
