@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparsecg.llm.common import written
 from sparsecg.llm import line_chunks, packing, positional_index, secret_linking, simhash_gray, toxicity
 from sparsecg.llm.queries import tokenizer_path
 
@@ -155,17 +156,77 @@ def slow_best_fit(lengths, capacity):
     return sorted(gaps)
 
 
+def slow_sweep(rows):
+    """Matches (piece, slot) of sorted rows: a slot takes the last piece that none before it took."""
+    stack, out = [], set()
+    for value, kind, i, slot in rows:
+        if kind == packing.PIECE:
+            stack.append(i)
+        elif stack:
+            out.add((stack.pop(), i, slot))
+    return out
+
+
+def placed(spark, lengths, capacity):
+    """Sequences by id: the pieces' offsets and lengths."""
+    rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    out = defaultdict(list)
+    got = packing.place(rows, capacity).collect()
+    assert sorted(r.pid for r in got) == list(range(len(lengths)))
+    for r in got:
+        out[r.sequence_id].append((r.offset, lengths[r.pid]))
+    for parts in out.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return out
+
+
 @given(st.lists(st.integers(1, 50), max_size=120))
 @settings(max_examples=200, deadline=None)
-def test_runs_equal_best_fit_decreasing(lengths):
-    counts = {n: lengths.count(n) for n in lengths}
-    used = defaultdict(int)
-    runs = packing.best_fit_runs(counts, 50)
-    for n, _, k, each, first, _ in runs.tolist():
-        for x in range(k):
-            used[first + x // each] += n
-    assert sorted(50 - u for u in used.values()) == slow_best_fit(lengths, 50)
-    assert sum(runs[:, 2]) == len(lengths)
+def test_rounds_of_one_range(lengths):
+    n = np.array([x for x in lengths if 2 * x <= 50], np.int64)
+    big = np.array([x for x in lengths if 2 * x > 50], np.int64)
+    pid, seq, offset = packing.rounds(np.arange(len(n)), n, 1000 + np.arange(len(big)), 50 - big, 0, 50)
+    assert sorted(pid.tolist()) == list(range(len(n)))
+    places = {1000 + i: [(0, int(x))] for i, x in enumerate(big)}
+    for p, q, o in zip(pid.tolist(), seq.tolist(), offset.tolist(), strict=True):
+        places.setdefault(q, []).append((o, int(n[p])))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(k for _, k in own)])[:-1].tolist() and sum(k for _, k in own) <= 50
+    want = len(slow_best_fit(lengths, 50))
+    assert len(places) <= want + 1 + want // 20
+
+
+@pytest.mark.parametrize("rows", [20_000, 150])
+def test_rounds_pack_as_few_as_best_fit(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    rng = np.random.default_rng(2)
+    for lengths, capacity in ((rng.integers(1, 101, 500), 100), (np.full(250, 34), 100), (np.minimum(100, rng.geometric(0.05, 400)), 100)):
+        got = placed(spark, lengths.tolist(), capacity)
+        want = len(slow_best_fit(lengths.tolist(), capacity))
+        assert -(-lengths.sum() // capacity) <= len(got) <= max(want + 2, want * 1.02)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sweep_by_ranges_equals_one_sweep(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = sorted({(int(rng.integers(1, 40)), int(rng.integers(0, 2)), i, 0) for i in range(900)})
+    cuts = [rows[len(rows) * k // parts : len(rows) * (k + 1) // parts] for k in range(parts)]
+    fields = "value long, kind long, id long, slot long, gap long"
+    df = spark.sparkContext.parallelize([[(*r, 9) for r in c] for c in cuts], parts).flatMap(lambda c: c).toDF(fields)
+    swept = written(df.mapInArrow(packing._sweep, ", ".join(f"{c} long" for c in packing._SWEPT)), "swept")
+    got = {(r.pid, r.id, r.slot) for r in swept.where(f"kind = {packing.MATCH}").collect()}
+    alone = {r.id for r in swept.where(f"kind = {packing.PIECE}").collect()}
+    if parts > 1:
+        met, left, _ = packing._across(swept)
+        got |= {(r.pid, r.id, r.slot) for r in met.collect()}
+        alone = {r.pid for r in left.collect()}
+    want = slow_sweep(rows)
+    assert got == want and alone == {i for _, k, i, _ in rows if k == packing.PIECE} - {p for p, *_ in want}
 
 
 # --- line dedup -----------------------------------------------------------------------------------------------
