@@ -1,16 +1,19 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-A fingerprint holds the majority bits of the XXH64 hashes of a text's word shingles. Equal fingerprints are one
-class from the start. Two different fingerprints with at most `distance` differing bits agree on at least
-`blocks - distance` of `blocks` bit blocks; each choice of `keep` such blocks is one shuffle key, so every link
-meets under some key. Inside a key the fingerprints are sorted by Gray rank and a tree is built over them: an
-upper node holds the bit pattern that all below it share and the mask of those bits. Two nodes are compared on
-the bits both masks cover; the differences so accumulated only grow towards the leaves, so a pair of nodes with
-more than `distance` of them drops both groups at once.
-
-A key with more than TILE fingerprints is dealt into tiles by hash, and pairs of tiles become the tasks, so
-neither a task's memory nor its time grows with a hot key. Tasks return a spanning forest of their links, never
-all pairs. Components come from joins on the shared folder (common.components).
+A fingerprint holds the majority bits of the XXH64 hashes of a text's word shingles. Equal fingerprints are one class
+from the start. The distinct fingerprints are sorted by Gray rank into ranges, and a tree stands over each range: a
+node holds the bit pattern that all below it share and the mask of those bits, factored out of its children, up to the
+range's root. Two nodes are compared on the bits that both masks cover. These differences only grow towards the
+leaves, so a pair of nodes with more than `distance` of them is dropped with all below it, from pairs of whole ranges
+down to pairs of fingerprints; and a pair whose differences can't exceed `distance` even if all other bits differ is
+linked as a whole without going further. Only pairs of ranges whose roots pass are dealt to tasks, which descend from
+the two roots to the fingerprints.
+
+Work: neighbours in Gray order share leading bits, so at a level of M nodes about M * C(log2 M, distance) / 2 pairs
+remain of M * M / 2; the whole grows little faster than the number of fingerprints. A range is sent to the ranges it
+may link with, of R ranges about C(log2 R, distance). Ranges have RANGE_ROWS fingerprints or more (see ranges_for),
+of distinct values, so neither equal texts nor a group of near copies makes a range large. Tasks return a spanning
+forest of their links, never all pairs; components come from joins on the shared folder (common.components).
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows and ties
 share a fingerprint; an empty table gives an empty result; other columns are ignored; a null doc_id stays a row
@@ -20,7 +23,7 @@ and can't be a component's id unless its whole class has none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, components, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: Fingerprints of one key that a task compares with those of another tile, at most.
-TILE = 2048
+#: Fingerprints of a range: RANGE_ROWS while there are at most RANGES ranges, then more, up to RANGE_MOST.
+RANGE_ROWS, RANGES, RANGE_MOST = 1 << 15, 1024, 1 << 22
 #: Children of a node of the tree.
-FAN = 16
+FAN = 4
 #: Node pairs expanded at once.
-CHUNK = 4096
+CHUNK = 1 << 17
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -97,129 +100,165 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
-def tree_links(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (indices a, b) of the links among distinct fingerprints, by the Gray-order tree."""
-    order = np.argsort(gray_rank(fp), kind="stable")
-    levels = [(fp[order], np.full(len(fp), ~np.uint64(0)))]
-    while len(levels[-1][0]) > FAN:
-        pat, mask = levels[-1]
-        at = np.arange(0, len(pat), FAN)
-        both = np.bitwise_and.reduceat(mask, at)
-        same = ~(np.bitwise_and.reduceat(pat, at) ^ np.bitwise_or.reduceat(pat, at))
-        mask = both & same
-        levels.append((pat[at] & mask, mask))
-    top = len(levels[-1][0])
-    a, b = np.triu_indices(top)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    stack = [(len(levels) - 1, a, b)]
+class GrayTree:
+    """Fingerprints in Gray order under nodes of FAN children; levels[0] are the fingerprints, levels[-1] is the root."""
+
+    def __init__(self, fp: np.ndarray):
+        self.order = np.argsort(gray_rank(fp), kind="stable")
+        self.levels = [(fp[self.order], np.full(len(fp), ~np.uint64(0)))]
+        while len(self.levels[-1][0]) > 1:
+            pattern, mask = self.levels[-1]
+            at = np.arange(0, len(pattern), FAN)
+            same = ~(np.bitwise_and.reduceat(pattern, at) ^ np.bitwise_or.reduceat(pattern, at))
+            mask = np.bitwise_and.reduceat(mask, at) & same
+            self.levels.append((pattern[at] & mask, mask))
+
+    def below(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First fingerprint under each node, and the one after its last, in Gray order."""
+        size = FAN**level
+        return node * size, np.minimum((node + 1) * size, len(self.order))
+
+
+class Found:
+    """Links between places 0..n-1, kept as a forest once they are many."""
+
+    def __init__(self, n: int):
+        self.n, self.a, self.b, self.held = n, [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > 1 << 20:
+            a, b = self.forest()
+            self.a, self.b, self.held = [a], [b], len(a)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lab = forest(self.n, np.concatenate(self.a), np.concatenate(self.b))
+        at = np.flatnonzero(lab != np.arange(self.n))
+        return at, lab[at]
+
+
+def _groups_linked(found: Found, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> None:
+    """Every fingerprint of a left group links with every one of its right group: stars on the first of each."""
+    for (first, _), (lo, hi) in ((left, right), (right, left)):
+        n = hi - lo
+        found.add(np.repeat(first, n), np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n))
+
+
+def tree_links(x: np.ndarray, y: np.ndarray | None = None, distance: int = DISTANCE, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places a, b) of the links between fingerprints x and y, or inside x if there is no y.
+
+    Places of y come after those of x. seen, if given, gets the number of pairs compared on each level, from the top.
+    """
+    one = GrayTree(x)
+    two = one if y is None else GrayTree(y)
+    own, shift = y is None, 0 if y is None else len(x)
+    found = Found(len(x) + (0 if own else len(y)))
+    stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
-        level, a, b = stack.pop()
-        if len(a) > CHUNK * FAN * FAN:
-            cut = CHUNK * FAN * FAN
-            stack.append((level, a[cut:], b[cut:]))
-            a, b = a[:cut], b[:cut]
-        pat, mask = levels[level]
-        near = np.bitwise_count((pat[a] ^ pat[b]) & mask[a] & mask[b]) <= distance
+        la, lb, a, b = stack.pop()
+        if len(a) > CHUNK:
+            stack.append((la, lb, a[CHUNK:], b[CHUNK:]))
+            a, b = a[:CHUNK], b[:CHUNK]
+        (pa_, ma), (pb, mb) = one.levels[la], two.levels[lb]
+        shared = ma[a] & mb[b]
+        differ = np.bitwise_count((pa_[a] ^ pb[b]) & shared).astype(np.int64)
+        if seen is not None:
+            seen.append(len(a))
+        near = differ <= distance
         a, b = a[near], b[near]
-        if level == 0:
-            off = a != b
-            found.append((a[off], b[off]))
-            held += int(off.sum())
-            if held > 1 << 20:
-                lab = forest(len(fp), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-                at = np.flatnonzero(lab != np.arange(len(fp)))
-                found, held = [(at, lab[at])], len(at)
+        if la == 0 and lb == 0:
+            off = a != b if own else slice(None)
+            found.add(a[off], b[off] + shift)
             continue
-        n = len(levels[level - 1][0])
-        for lo in range(0, len(a), CHUNK):
-            x = (a[lo : lo + CHUNK, None] * FAN + np.arange(FAN))[:, :, None]
-            y = (b[lo : lo + CHUNK, None] * FAN + np.arange(FAN))[:, None, :]
-            ok = (x < n) & (y < n) & (x <= y)
-            stack.append((level - 1, np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    lab = forest(len(fp), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-    at = np.flatnonzero(lab != np.arange(len(fp)))
-    return order[at], order[lab[at]]
-
-
-def _small_links(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of many groups of at most FAN fingerprints, which are single upper nodes."""
-    out_a, out_b = [], []
-    for d in range(1, FAN):
-        a = np.flatnonzero(group[:-d] == group[d:]) if d < len(group) else np.empty(0, np.int64)
-        if not len(a):
-            break
-        a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= distance]
-        out_a.append(a)
-        out_b.append(a + d)
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        sure = differ[near] + 64 - np.bitwise_count(shared[near]) <= distance
+        if sure.any():
+            _groups_linked(found, one.below(la, a[sure]), tuple(p + shift for p in two.below(lb, b[sure])))
+            a, b = a[~sure], b[~sure]
+        down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
+        fan_a, fan_b = FAN if down_a else 1, FAN if down_b else 1
+        x_, y_ = np.broadcast_arrays((a[:, None] * fan_a + np.arange(fan_a))[:, :, None], (b[:, None] * fan_b + np.arange(fan_b))[:, None, :])
+        la, lb = la - down_a, lb - down_b
+        ok = (x_ < len(one.levels[la][0])) & (y_ < len(two.levels[lb][0]))
+        if own:
+            ok &= x_ <= y_
+        stack.append((la, lb, x_[ok], y_[ok]))
+    a, b = found.forest()
+    order = one.order if own else np.concatenate([one.order, two.order + shift])
+    return order[a], order[b]
 
 
 def _link_batches(distance: int):
+    """i, j, own, fp, sorted by i, j and own -> links between the ranges i and j, or inside i if they are one."""
+
+    def links_of(i: int, j: int, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cut = int(np.searchsorted(own, j)) if i != j else len(fp)
+        a, b = tree_links(fp[:cut], fp[cut:] if i != j else None, distance) if cut and (i == j or cut < len(fp)) else (own[:0], own[:0])
+        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
-
-        def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            size = np.diff(np.r_[start, len(fp)])
-            group = np.repeat(np.arange(len(start)), size)
-            small = np.flatnonzero(np.repeat(size <= FAN, size))
-            a, b = _small_links(group[small], fp[small], distance)
-            out = [(fp[small[a]], fp[small[b]])]
-            for g in np.flatnonzero(size > FAN):
-                own = fp[start[g] : start[g] + size[g]]
-                a, b = tree_links(own, distance)
-                out.append((own[a], own[b]))
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
-            key = np.concatenate([held_key, key])
-            fp = np.concatenate([held_fp, batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
-            if not len(fp):
-                continue
-            last = np.flatnonzero((key != key[-1]).any(1))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield done(key[:cut], fp[:cut])
-            held_key, held_fp = key[cut:], fp[cut:]
-        if len(held_fp):
-            yield done(held_key, held_fp)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key = None
+        for b in batches:
+            i, j, own, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            cuts = np.r_[0, np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(i)]
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                if lo == hi:
+                    continue
+                if key != (int(i[lo]), int(j[lo])) and held:
+                    yield links_of(*key, *map(np.concatenate, zip(*held, strict=True)))
+                    held.clear()
+                key = (int(i[lo]), int(j[lo]))
+                held.append((own[lo:hi], fp[lo:hi].view(np.uint64)))
+        if held:
+            yield links_of(*key, *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _masks(blocks: int, keep: int) -> list[int]:
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:], strict=False)]
-    return [sum(c) for c in combinations(block, keep)]
+def ranges_for(n: int) -> int:
+    """Ranges for n distinct fingerprints: of RANGE_ROWS up to RANGES of them, then larger ones up to RANGE_MOST rows."""
+    return max(1, min(-(-n // RANGE_ROWS), max(RANGES, -(-n // RANGE_MOST))))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def gray_order(fp: Column) -> Column:
+    """Sorts like the Gray rank of a fingerprint's 64 bits taken as unsigned."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """a, b: a forest of the links among the distinct fingerprints fps(fp); every link lies within one of its trees.
+def range_pairs(roots: list[tuple[int, int, int]], distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Pairs of ranges (own, other), both ways round and with themselves, that may hold a link.
 
-    blocks: bit blocks; distance + 1 gives short keys and few copies of a row, more give longer keys for larger tables.
+    roots: each range, the bits that all its fingerprints have and the bits that any has.
     """
-    if blocks is None:
-        blocks = distance + 1 if fps.count() < 1 << 24 else distance + 3
-    masks = _masks(blocks, blocks - distance)
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x")).select("fp", "x.t", "x.k")
-    hot = keyed.groupBy("t", "k").count().where(F.col("count") > TILE).select("t", "k", F.ceil(F.col("count") / TILE).cast("int").alias("m"))
-    m = F.coalesce("m", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), m).cast("int")
-    others = F.when(m == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), m - 1), lambda j: j != F.col("own")))
-    dealt = keyed.join(hot, ["t", "k"], "left").withColumn("own", own).withColumn("j", F.explode(others))
-    dealt = dealt.select("t", "k", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "fp")
-    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    if not roots:
+        return []
+    name, every, some = (np.array([x % (1 << 64) for x in c], np.uint64) for c in zip(*roots, strict=True))
+    mask = ~(every ^ some)
+    out = []
+    for k, n in enumerate(name.tolist()):
+        near = np.bitwise_count((every ^ every[k]) & mask & mask[k]) <= distance
+        out += [(n, int(m)) for m in name[near]]
+    return out
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, ranges: int | None = None) -> DataFrame:
+    """a, b: a forest of the links among the distinct fingerprints fps(fp); every link lies within one of its trees."""
+    if ranges is None:
+        ranges = ranges_for(fps.count())
+    # the cut is stored, as sampling could place it elsewhere next time
+    cut = written(fps.select("fp").repartitionByRange(ranges, gray_order(F.col("fp"))).withColumn("own", F.spark_partition_id().cast("long")), "ranges")
+    roots = cut.groupBy("own").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")).collect()  # a row for each range
+    pairs = cut.sparkSession.createDataFrame(range_pairs([tuple(r) for r in roots], distance), "own long, other long")
+    if len(roots) <= RANGES:
+        pairs = F.broadcast(pairs)  # at most the square of RANGES rows of 16 bytes
+    dealt = cut.join(pairs, "own").select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "own")
     return arrow_map(dealt, _link_batches(distance), "a long, b long")
 
 

@@ -61,17 +61,52 @@ def test_fingerprint(text):
     assert simhash_gray.fingerprint(text) == slow_fingerprint(text)
 
 
-def test_tree_finds_all_links():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    fp = [base]
-    for _ in range(60):
-        one = np.uint64(1) << rng.integers(0, 64, (2, 40)).astype(np.uint64)
+def near_copies(seed, n, steps):
+    rng = np.random.default_rng(seed)
+    fp = [rng.integers(0, 2**63, n, dtype=np.uint64)]
+    for _ in range(steps):
+        one = np.uint64(1) << rng.integers(0, 64, (2, n)).astype(np.uint64)
         fp.append(fp[-1] ^ one[0] ^ one[1])
-    fp = np.unique(np.concatenate(fp))
-    a, b = simhash_gray.tree_links(fp)
+    return np.unique(np.concatenate(fp))
+
+
+def slow_forest(fp):
     x, y = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
-    assert (simhash_gray.forest(len(fp), a, b) == simhash_gray.forest(len(fp), x, y)).all()
+    return simhash_gray.forest(len(fp), x, y)
+
+
+def a_ball():
+    """Groups whose fingerprints all link with each other: only three bits differ."""
+    low = np.arange(8, dtype=np.uint64)
+    return np.unique(np.concatenate([low << np.uint64(k) ^ np.uint64(k << 40) for k in (0, 9, 30, 61)]))
+
+
+@pytest.mark.parametrize("fp", [near_copies(5, 40, 60), a_ball(), near_copies(6, 1, 0), near_copies(7, 900, 1)])
+@pytest.mark.parametrize("chunk", [1 << 17, 50])
+def test_tree_finds_all_links(monkeypatch, fp, chunk):
+    monkeypatch.setattr(simhash_gray, "CHUNK", chunk)
+    a, b = simhash_gray.tree_links(fp)
+    assert (simhash_gray.forest(len(fp), a, b) == slow_forest(fp)).all()
+    # two trees, and what each holds alone
+    mixed = np.random.default_rng(1).permutation(fp)
+    x, y = mixed[: len(fp) // 3], mixed[len(fp) // 3 :]
+    if len(x):
+        a, b = (np.concatenate(v) for v in zip(simhash_gray.tree_links(x, y), simhash_gray.tree_links(x), [v + len(x) for v in simhash_gray.tree_links(y)], strict=True))
+        assert (simhash_gray.forest(len(fp), a, b) == slow_forest(mixed)).all()
+
+
+def test_tree_drops_whole_groups(spark):
+    """The fingerprints of a registered table: few of the pairs of each level go on."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    fp = np.unique(np.array([simhash_gray.fingerprint(r.text) for r in rows], np.uint64))
+    seen: list[int] = []
+    a, b = simhash_gray.tree_links(fp, seen=seen)
+    assert (simhash_gray.forest(len(fp), a, b) == slow_forest(fp)).all()
+    assert sum(seen) < len(fp) ** 2 / 3
+    fp = near_copies(3, 20_000, 0)
+    seen.clear()
+    simhash_gray.tree_links(fp, seen=seen)
+    assert sum(seen) < len(fp) ** 2 / 15
 
 
 def test_near_duplicates(spark, sf_dir, monkeypatch):
@@ -87,17 +122,34 @@ def test_near_duplicates(spark, sf_dir, monkeypatch):
     assert kept.columns == docs(spark, rows).columns
 
 
-def test_hot_keys_are_tiled_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(simhash_gray, "TILE", 40)
+def test_gray_order(spark):
+    fp = near_copies(4, 200, 1)
+    got = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").orderBy(simhash_gray.gray_order(F.col("fp"))).collect()
+    assert [r.fp for r in got] == fp[np.argsort(simhash_gray.gray_rank(fp))].view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 13])
+def test_ranges_lose_no_link(spark, ranges):
     rng = np.random.default_rng(2)
-    fp = np.unique(np.uint64(7 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)))
+    dense = np.uint64(7 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    fp = np.unique(np.concatenate([dense, near_copies(9, 50, 6)]))
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    for blocks in (4, 5, 6):
-        found = np.array([(r.a, r.b) for r in simhash_gray.links(df, blocks=blocks).collect()], np.int64)
-        place = {int(x): k for k, x in enumerate(fp.view(np.int64))}
-        a, b = (np.array([place[int(x)] for x in found[:, k]]) for k in (0, 1))
-        x, y = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
-        assert (simhash_gray.forest(len(fp), a, b) == simhash_gray.forest(len(fp), x, y)).all()
+    found = np.array([(r.a, r.b) for r in simhash_gray.links(df, ranges=ranges).collect()], np.int64)
+    place = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    a, b = (np.array([place[int(x)] for x in found[:, k]]) for k in (0, 1))
+    assert (simhash_gray.forest(len(fp), a, b) == slow_forest(fp)).all()
+
+
+def test_range_pairs_are_dropped():
+    """Of ranges over scattered fingerprints only those whose roots are near meet."""
+    fp = near_copies(8, 60_000, 0)
+    fp = fp[np.argsort(simhash_gray.gray_rank(fp))]
+    parts = np.array_split(fp, 256)
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    roots = [(k, signed(np.bitwise_and.reduce(p)), signed(np.bitwise_or.reduce(p))) for k, p in enumerate(parts)]
+    pairs = set(simhash_gray.range_pairs(roots))
+    assert len(pairs) < 0.75 * 256**2 and all((j, i) in pairs for i, j in pairs)
+    assert simhash_gray.ranges_for(0) == 1 and simhash_gray.ranges_for(1 << 36) == 1 << 14
 
 
 # --- packing --------------------------------------------------------------------------------------------------
