@@ -158,7 +158,7 @@ def slow_links(rows, threshold=0.9):
     return {i: (n[i], comp[i]) for i, _ in rows}
 
 
-@pytest.mark.parametrize("tile", [37, 4096])
+@pytest.mark.parametrize("tile", [37 * 320, 1 << 20])
 def test_vectors(spark, tile):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 40))
@@ -166,16 +166,68 @@ def test_vectors(spark, tile):
     rows = [(i, np.float32(v).tolist()) for i, v in rows]
     rows += [(400, rows[0][1]), (401, [2 * x for x in rows[0][1]]), (402, None), (403, []), (404, [0.0] * 40), (405, [float("nan")] + [1.0] * 39), (406, [None] + [1.0] * 39), (407, [float("inf")] * 40), (408, rows[0][1][:8]), (409, rows[0][1][:8]), (410, [1e-30] * 40), (411, [1e30] * 40)]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], VEC)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_tiles.near_duplicates(df, tile=tile).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_tiles.near_duplicates(df, tile_bytes=tile).collect()}
     assert got == slow_links([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
     assert embed_tiles.near_duplicates(df.where("false")).count() == 0
 
 
+def plain_cosine(a, b):
+    return float(a @ b) / np.sqrt(float(a @ a) * float(b @ b))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cosine_of_just_the_threshold_links(spark, kind):
+    """400 pairs of cosine 0.9, and as many a little below, in dimensions that no other pair uses."""
+    rows, want = [], {}
+    rng = np.random.default_rng(1)
+    for k in range(400):
+        at = 5 * (k % 80) + rng.permutation(5)
+        a, b = np.zeros(400), np.zeros(400)
+        a[at[0]] = 1.0 + k // 80
+        b[at] = np.array([9, 4, 1, 1, 1]) * (k // 80 + 1)
+        if kind == "double":
+            b /= 10
+        below = b.copy()
+        below[at[1]] *= 1 + 1e-6
+        rows += [(3 * k, a, k), (3 * k + 1, b, k), (3 * k + 2, below, k)]
+        assert plain_cosine(a, b) >= 0.9 > plain_cosine(a, below)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v, _ in rows], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: r.n_links for r in embed_tiles.near_duplicates(df, tile_bytes=1 << 18).collect()}
+    vectors = np.array([v if kind == "double" else np.float32(v).astype(float) for _, v, _ in rows])
+    dots = vectors @ vectors.T
+    norms = np.diag(dots)
+    near = dots / np.sqrt(norms[:, None] * norms[None, :])
+    sure = (near >= 0.9 + 1e-9).sum(1) - 1  # each with itself
+    tie = np.abs(near - 0.9) < 1e-12
+    assert tie.sum() >= 800
+    want = sure + tie.sum(1)
+    assert [got[i] for i, _, _ in rows] == want.tolist()
+
+
+def test_far_cells_do_not_meet():
+    rng = np.random.default_rng(2)
+    u = embed_tiles.unit(np.repeat(np.eye(8), 200, 0) + 0.02 * rng.normal(size=(1600, 8)))
+    cells = embed_tiles.Cells(u, 16)
+    own = cells.cell(u)
+    assert cells.count == 16 and np.bincount(own).max() <= 150
+    low, high = (np.array([f(u[own == c], 0) for c in range(16)]) for f in (np.min, np.max))
+    a, b = embed_tiles.cell_pairs(low, high, 0.9)
+    assert len(a) < 16 * 16 / 2
+    mixed = embed_tiles.unit(rng.normal(size=(900, 8)))
+    cells = embed_tiles.Cells(mixed[:100], 30)
+    own = cells.cell(mixed)
+    names = np.unique(own)
+    low, high = (np.array([f(mixed[own == c], 0) for c in names]) for f in (np.min, np.max))
+    met = set(zip(*(names[x].tolist() for x in embed_tiles.cell_pairs(low, high, 0.9)), strict=True))
+    x, y = np.nonzero(mixed @ mixed.T >= 0.9)
+    assert set(zip(own[x].tolist(), own[y].tolist(), strict=True)) <= met and len(met) < len(names) ** 2
+
+
 def test_bounds_never_drop_a_pair():
     rng = np.random.default_rng(8)
     u = embed_tiles.unit(np.concatenate([rng.normal(size=(80, 64)), np.repeat(rng.normal(size=(1, 64)), 40, 0) + 0.3 * rng.normal(size=(40, 64))]))
     a, b = embed_tiles.close_pairs(u, u, 0.9)
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(u @ u.T >= 0.9)), strict=True))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(u @ u.T >= 0.9 - embed_tiles.SLACK)), strict=True))
 
 
 def test_components(spark):
