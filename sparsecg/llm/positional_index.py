@@ -15,7 +15,7 @@ is dealt by document and position.
 
 Defined results: null or empty texts have no words (documents get zeros, items no windows); an item of fewer words
 than a window is one window; repeated rows of a document get equal results; repeated items count by item_id;
-rows without doc_id are looked up too; empty tables give empty results or zeros; other columns are ignored.
+items without item_id count for hits but name no item; rows without doc_id are looked up too; empty tables give empty results or zeros; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,10 +53,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """item_id, j, term, n: the words of each distinct item."""
-    rows = items.where("item_id is not null").select("item_id", words(F.col("text").cast("string")).alias("w")).distinct()
-    return rows.select("item_id", F.xxhash64("w").alias("ih"), F.size("w").alias("n"), F.posexplode("w").alias("j", "term"))
+def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ih, j, term, n: the words of each distinct text of items, named by a hash; and ih, item_id: who has it."""
+    rows = items.select("item_id", words(F.col("text").cast("string")).alias("w")).withColumn("ih", F.xxhash64("w"))
+    texts = rows.select("ih", "w").distinct().select("ih", F.size("w").alias("n"), F.posexplode("w").alias("j", "term"))
+    return texts, rows.where("item_id is not null").select("ih", "item_id").distinct()
 
 
 class Index:
@@ -64,7 +65,8 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW):
         self.window = window
-        self.items = written(item_words(items), "items")
+        texts, names = item_words(items)
+        self.items, self.names = written(texts, "items"), written(names, "names")
         vocabulary = self.items.select("term").distinct()
         self.terms = vocabulary.count()
         none = vocabulary.sparkSession.range(1).select(F.lit("").alias("term"))
@@ -78,33 +80,39 @@ class Index:
         return self.postings.where("term = ''").select("doc_id", "dk", "th", F.col("pos").cast("long").alias("n_words"))
 
     def windows(self) -> DataFrame:
-        """item_id, ih, j1, t1, j2, t2: the rarest and the second-rarest place of each window, one row for equal ones."""
+        """ih, n, j1, t1, j2, t2: the rarest and the second-rarest place of each window, one row for equal ones."""
         frequency = self.postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("cf"))
         known = self.items.join(small(frequency, self.terms), "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
         size = F.least("n", F.lit(self.window))
         starts = known.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - size + 1), F.least(F.col("j"), F.col("n") - size))))
-        ordered = starts.withColumn("r", F.row_number().over(Window.partitionBy("item_id", "ih", "w").orderBy("cf", "j")))
-        both = ordered.where("r <= 2").groupBy("item_id", "ih", "w").agg(*[F.max(F.when(F.col("r") == r, F.col(c))).alias(f"{a}{r}") for r in (1, 2) for c, a in (("j", "j"), ("term", "t"))], F.min("cf").alias("cf"))
+        ordered = starts.withColumn("r", F.row_number().over(Window.partitionBy("ih", "w").orderBy("cf", "j")))
+        both = ordered.where("r <= 2").groupBy("ih", "w").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("r") == r, F.col(c))).alias(f"{a}{r}") for r in (1, 2) for c, a in (("j", "j"), ("term", "t"))], F.min("cf").alias("cf"))
         # a window with a term that no document has can't occur; a window of one word stands for itself
-        both = both.where("cf > 0").select("item_id", "ih", "j1", "t1", F.coalesce("j2", "j1").alias("j2"), F.coalesce("t2", "t1").alias("t2"))
+        both = both.where("cf > 0").select("ih", "n", "j1", "t1", F.coalesce("j2", "j1").alias("j2"), F.coalesce("t2", "t1").alias("t2"))
         return both.distinct()
 
     def phrases(self) -> DataFrame:
-        """dk, th, item_id, start, end: maximal runs of corpus words that follow an item for a window or more."""
+        """dk, th, ih, start, end: maximal runs of corpus words that follow an item's text for a window or more."""
         windows = written(self.windows(), "windows")
         n = windows.count()
         first = self.postings.join(small(windows, n).withColumnRenamed("t1", "term"), "term")
-        first = first.select("dk", "th", "item_id", "ih", "t2", (F.col("pos") - F.col("j1")).alias("diag"), (F.col("pos") - F.col("j1") + F.col("j2")).alias("pos"))
+        first = first.select("dk", "th", "ih", "t2", (F.col("pos") - F.col("j1")).alias("diag"), (F.col("pos") - F.col("j1") + F.col("j2")).alias("pos"))
         second_terms = small(windows.select(F.col("t2").alias("term")).distinct(), n)
         second = self.postings.join(second_terms, "term", "left_semi").select("dk", "th", "pos", F.col("term").alias("t2")).distinct()
-        diagonals = written(first.join(second, ["dk", "th", "pos", "t2"]).select("dk", "th", "item_id", "ih", "diag").distinct(), "diagonals")
-        wanted = diagonals.join(small(self.items, self.items.count()), ["item_id", "ih"]).select("dk", "th", "item_id", "ih", "diag", "n", "j", "term", (F.col("diag") + F.col("j")).alias("pos"))
-        there = self.postings.select("dk", "th", "pos", "term").distinct()
+        diagonals = written(first.join(second, ["dk", "th", "pos", "t2"]).select("dk", "th", "ih", "diag").distinct(), "diagonals")
+        # only postings of documents with a diagonal are compared further
+        candidates = written(diagonals.select("dk", "th").distinct(), "candidates")
+        there = self.postings.where("term <> ''").join(small(candidates, candidates.count()), ["dk", "th"], "left_semi").select("dk", "th", "pos", "term").distinct()
+        wanted = diagonals.join(small(self.items, self.items.count()), "ih").select("dk", "th", "ih", "diag", "n", "j", "term", (F.col("diag") + F.col("j")).alias("pos"))
         met = wanted.join(there, ["dk", "th", "pos", "term"])
-        line = ["dk", "th", "item_id", "ih", "diag"]
+        line = ["dk", "th", "ih", "diag"]
         run = met.withColumn("run", F.col("j") - F.row_number().over(Window.partitionBy(*line).orderBy("j")))
         runs = run.groupBy(*line, "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.first("n").alias("n"))
-        return runs.where(F.col("end") - F.col("start") >= F.least("n", F.lit(self.window))).select("dk", "th", "item_id", "start", "end")
+        return runs.where(F.col("end") - F.col("start") >= F.least("n", F.lit(self.window))).select("dk", "th", "ih", "start", "end")
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """found(ih, ...) with item_id instead of ih, a row for each item of that text; texts without item_id go."""
+        return found.join(small(self.names, self.names.count()), "ih").drop("ih")
 
     def proximity(self, slop: int = 5) -> DataFrame:
         """dk, th, item_id, w, at: windows all of whose distinct terms stand within window + slop words around position at.
@@ -117,23 +125,23 @@ class Index:
         size = F.least("n", F.lit(self.window))
         known = self.items.join(small(frequency, self.terms), "term")
         starts = known.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - size + 1), F.least(F.col("j"), F.col("n") - size))))
-        terms = starts.groupBy("item_id", "ih", "w", "term").agg(F.first("cf").alias("cf"), F.first("n").alias("n"), F.count("*").alias("c"))
-        part = Window.partitionBy("item_id", "ih", "w")
+        terms = starts.groupBy("ih", "w", "term").agg(F.first("cf").alias("cf"), F.first("n").alias("n"), F.count("*").alias("c"))
+        part = Window.partitionBy("ih", "w")
         terms = terms.withColumn("r", F.row_number().over(part.orderBy("cf", "term"))).withColumn("k", F.count("*").over(part)).withColumn("total", F.sum("c").over(part))
         terms = written(terms.where("total = least(n, %d)" % self.window), "nearterms")
         n = terms.count()
         bucket = F.floor(F.col("pos") / span)
         near = self.postings.where("term <> ''").select("dk", "th", "term", F.col("pos").alias("p"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-        anchors = self.postings.join(small(terms.where("r = 1"), n), "term").select("dk", "th", "item_id", "ih", "w", "k", F.col("pos").alias("at"), bucket.alias("b"))
-        wanted = anchors.join(small(terms.select("item_id", "ih", "w", "term", "r"), n), ["item_id", "ih", "w"])
+        anchors = self.postings.join(small(terms.where("r = 1"), n), "term").select("dk", "th", "ih", "w", "k", F.col("pos").alias("at"), bucket.alias("b"))
+        wanted = anchors.join(small(terms.select("ih", "w", "term", "r"), n), ["ih", "w"])
         found = wanted.join(near, ["dk", "th", "term", "b"]).where(F.abs(F.col("p") - F.col("at")) < span)
         # the anchor lies in the stretch: for each left end, the nearest posting of each term at or after it
-        cand = ["dk", "th", "item_id", "ih", "w", "k", "at"]
+        cand = ["dk", "th", "ih", "w", "k", "at"]
         per_term = found.groupBy(*cand, "term").agg(F.collect_set("p").alias("ps"))  # span places at most
         lists = per_term.groupBy(*cand).agg(F.collect_list("ps").alias("lists"))  # window terms at most
         lefts = F.sequence(F.greatest(F.lit(0), F.col("at") - span + 1), F.col("at"))
         holds = F.exists(lefts, lambda a: F.forall("lists", lambda ps: F.exists(ps, lambda p: (p >= a) & (p < a + span))))
-        return lists.where((F.size("lists") == F.col("k")) & holds).select("dk", "th", "item_id", "w", "at").distinct()
+        return self.named(lists.where((F.size("lists") == F.col("k")) & holds).select("dk", "th", "ih", "w", "at").distinct()).select("dk", "th", "item_id", "w", "at")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -145,8 +153,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     before = F.max("end").over(Window.partitionBy(*doc).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     inside = found.select(*doc, "start", "end").distinct().withColumn("from", F.greatest("start", F.coalesce(before, F.lit(0))))
     hit = inside.groupBy(*doc).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("from"))).alias("n_hit"))
-    ids = found.groupBy(*doc).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # as many as items
-    out = index.lengths().join(hit.join(ids, doc), doc, "left")
+    ids = index.named(found.select(*doc, "ih").distinct()).groupBy(*doc).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # as many as items
+    out = index.lengths().join(hit.join(ids, doc, "left"), doc, "left")
     return out.select("doc_id", *doc, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
