@@ -437,6 +437,49 @@ def test_weak_parts_need_their_complements(spark):
     assert spans == {1: [], 2: ["id", "value", "endpoint"], 3: [], 4: [], 5: ["endpoint", "assign", "access"]}
 
 
+def slow_linked(parts):
+    """Weak parts (kind, start, end) with complements in their scope, by every pair and triple."""
+    out = set()
+    kinds = secret_linking.KINDS
+    secrets, identifiers = secret_linking.SECRETS, secret_linking.IDENTIFIERS
+    apart = lambda a, b: a[2] <= b[1] or b[2] <= a[1]
+    for w in parts:
+        near = [p for p in parts if p[1] <= w[2] + secret_linking.REACH and p[2] >= w[1] - secret_linking.REACH and apart(p, w)]
+        s, i = ([p for p in near if kinds[p[0]] in names] for names in (secrets, identifiers))
+        kind = kinds[w[0]]
+        if kind == "id" and s or kind == "value" and i or kind == "endpoint" and any(apart(a, b) for a in s for b in i):
+            out.add(w)
+    return out
+
+
+def test_no_part_complements_itself(spark):
+    value = "aB3" * 12
+    rows = [(1, f"client_id = {value}"), (2, "login: 0123456789abcdef01234567"), (3, "user_name=password: hunter22x"), (4, f"https://db.example.com/x client_id={value}"), (5, f"https://db.example.com/x login={value} {value}x")]
+    got = {r.doc_id: [secret_linking.KINDS[s.kind] for s in r.spans] for r in secret_linking.scan(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: ["hex"], 3: ["assign"], 4: [], 5: ["endpoint", "id", "value"]}  # the value in the login is part of its only identifier
+
+
+def test_linking_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    bits = ["client_id = acme77", "login: bob", "aB3" * 12, "password=hunter22", "0123456789abcdef01234567", "AKIA" + "B" * 18, "https://db.example.com/x", "user=0123456789abcdef01234567", "key_id=" + "aB3" * 12, "x " * 60, "x " * 95, "redis://token:secretvalue@h", "é " * 99]
+    texts = [" ".join(rng.choice(bits, rng.integers(2, 30))) for _ in range(60)]
+    df = docs(spark, list(enumerate(texts)))
+    parts = defaultdict(list)
+    for r in secret_linking.matches(df).collect():
+        parts[r.dk].append((r.kind, r.start, r.end))
+    for i, t in enumerate(texts):  # every kind against the pattern itself
+        for k, (_, pattern, group, least) in enumerate(secret_linking.BASE + secret_linking.WEAK):
+            want = {(k, m.start(), m.end()) for m in re.finditer(pattern, t) if len(m[group]) >= least}
+            if secret_linking.KINDS[k] == "value":
+                want = {w for w in want if all(re.search(h, t[w[1] : w[2]]) for h in ("[A-Z]", "[a-z]", "[0-9]"))}
+            assert {p for p in parts[i] if p[0] == k} == want
+    got = defaultdict(set)
+    for r in secret_linking.scan(df).collect():
+        got[r.doc_id] = {(s.kind, s.start, s.end) for s in r.spans}
+    for i in range(len(texts)):
+        assert got[i] == {p for p in parts[i] if p[0] < len(secret_linking.BASE)} | slow_linked(parts[i])
+
+
 # --- contamination --------------------------------------------------------------------------------------------
 
 
@@ -453,16 +496,16 @@ def slow_contamination(text, items):
             for k in range(len(w) - n + 1):
                 if w[k : k + n] == v[a : a + n]:
                     hit.update(range(k, k + n))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}
     return len(w), len(hit), sorted(ids)
 
 
 def test_contamination(spark):
     item = " ".join(f"q{k}" for k in range(20))
-    items = [(1, item), (2, "Two Words"), (3, "one"), (4, None), (5, "..."), (10, item + " more"), (11, "a a a a a a a a a a a a a a")]
+    items = [(1, item), (2, "Two Words"), (3, "one"), (4, None), (5, "..."), (10, item + " more"), (11, "a a a a a a a a a a a a a a"), (None, "nobody named this"), (None, "one"), (12, item)]
     rows = [
         (1, "x " + item.upper() + " y"), (2, " ".join(item.split()[3:17]) + " two. words,two words"), (3, "one-one"), (4, "a " * 15), (5, None), (6, ""),
-        (7, "y " * 700 + item), (8, " ".join(item.split()[:12])), (9, f"{item} {item}"), (10, "Ünïcode one"), (10, "Ünïcode one"), (None, item), (11, "!!!"),
+        (7, "y " * 700 + item), (8, " ".join(item.split()[:12])), (9, f"{item} {item}"), (10, "Ünïcode one"), (10, "Ünïcode one"), (None, item), (11, "!!!"), (12, "yet nobody named this"),
     ]
     bench = spark.createDataFrame([(i, t, None) for i, t in items], "item_id long, text string, doc_id long")
     got = positional_index.contamination(docs(spark, rows), bench).select("doc_id", "n_words", "n_hit", "items").collect()
