@@ -191,30 +191,32 @@ def tree_links(x: np.ndarray, y: np.ndarray | None = None, distance: int = DISTA
     return order[a], order[b]
 
 
-def _link_batches(distance: int):
-    """i, j, own, fp, sorted by i, j and own -> links between the ranges i and j, or inside i if they are one."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of one range as one row: own (the range), fps (their bytes), the bits that all and that any have."""
+    from pyspark import TaskContext
+
+    fp = np.concatenate([np.empty(0, np.int64), *(b.column(0).to_numpy(zero_copy_only=False) for b in batches)]).view(np.uint64)
+    if len(fp):
+        every, some = np.bitwise_and.reduce(fp), np.bitwise_or.reduce(fp)
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([fp.tobytes()], pa.binary()), *(pa.array([int(x.view(np.int64))], pa.int64()) for x in (every, some))]
+        yield pa.RecordBatch.from_arrays(columns, ["own", "fps", "every", "some"])
 
-    def links_of(i: int, j: int, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = int(np.searchsorted(own, j)) if i != j else len(fp)
-        a, b = tree_links(fp[:cut], fp[cut:] if i != j else None, distance) if cut and (i == j or cut < len(fp)) else (own[:0], own[:0])
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
+def _link_batches(distance: int):
+    """i, j, own, fps, sorted by i, j and own -> links between the ranges i and j, or inside i if they are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        key = None
+        first = None  # the range i of a pair whose j is still to come
         for b in batches:
-            i, j, own, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            cuts = np.r_[0, np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(i)]
-            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                if lo == hi:
+            for i, j, own, raw in zip(*(b.column(k).to_pylist() for k in range(3)), (x.as_py() for x in b.column(3)), strict=True):
+                fp = np.frombuffer(raw, np.uint64)
+                if i != j and own == i:
+                    first = fp
                     continue
-                if key != (int(i[lo]), int(j[lo])) and held:
-                    yield links_of(*key, *map(np.concatenate, zip(*held, strict=True)))
-                    held.clear()
-                key = (int(i[lo]), int(j[lo]))
-                held.append((own[lo:hi], fp[lo:hi].view(np.uint64)))
-        if held:
-            yield links_of(*key, *map(np.concatenate, zip(*held, strict=True)))
+                x, y = (fp, None) if i == j else (first, fp)
+                a, c = tree_links(x, y, distance)
+                both = x if y is None else np.concatenate([x, y])
+                yield pa.RecordBatch.from_arrays([pa.array(both[a].view(np.int64)), pa.array(both[c].view(np.int64))], ["a", "b"])
 
     return run
 
@@ -251,13 +253,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, ranges: int | None = None) -
     """a, b: a forest of the links among the distinct fingerprints fps(fp); every link lies within one of its trees."""
     if ranges is None:
         ranges = ranges_for(fps.count())
-    # the cut is stored, as sampling could place it elsewhere next time
-    cut = written(fps.select("fp").repartitionByRange(ranges, gray_order(F.col("fp"))).withColumn("own", F.spark_partition_id().cast("long")), "ranges")
-    roots = cut.groupBy("own").agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")).collect()  # a row for each range
+    # a range is one row from here on; the cut is stored, as sampling could place it elsewhere next time
+    cut = fps.select("fp").repartitionByRange(ranges, gray_order(F.col("fp")))
+    cut = written(arrow_map(cut, _packed, "own long, fps binary, every long, some long"), "ranges")
+    roots = cut.select("own", "every", "some").collect()  # a row for each range
     pairs = cut.sparkSession.createDataFrame(range_pairs([tuple(r) for r in roots], distance), "own long, other long")
     if len(roots) <= RANGES:
         pairs = F.broadcast(pairs)  # at most the square of RANGES rows of 16 bytes
-    dealt = cut.join(pairs, "own").select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    dealt = cut.join(pairs, "own").select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fps")
     dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "own")
     return arrow_map(dealt, _link_batches(distance), "a long, b long")
 
