@@ -1,8 +1,10 @@
 """Main-text extraction by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is read into leaf blocks: stretches of text between block-level tags, each with the tags around it.
-Features of a block are its ancestor tags and the words of their class, id and role attributes, and properties of its
-text (length, share of linked text, stops, letters). A block is `main` or `other`; weights of features and of the
+A page is read into leaf blocks (html_blocks): stretches of text between block-level tags, each with the elements
+around it. Features of a block are its ancestors' tags and the words of their class, id and role attributes, whether
+it stands in a container of main text if the page has one, and properties of its text and of its parent's (length,
+share of linked text, stops, marks). Texts count for themselves only on pages without such a container: where there is
+one, what a block says must not outweigh where it stands. A block is `main` or `other`; weights of features and of the
 transitions between neighbours are learned by gradient ascent on the conditional likelihood of labelled pages
 (forward-backward), and pages are decoded by Viterbi. The labelled pages come from html_pages, which writes pages of
 many layouts with known main text; train() takes any others.
@@ -16,8 +18,6 @@ text; an empty table gives an empty result; other columns are carried on by the
 from __future__ import annotations
 
 import functools
-import html as html_lib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,145 +28,101 @@ from pyspark.sql import functions as F
 
 from . import html_pages
 from .common import arrow_map, slices
+from .html_blocks import Block, Node, Page, read
 
 FEATURES = 1 << 14
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1200
 ROUNDS = 150
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"](?=[^'\"]*\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "noembed", "noframes", "xmp")}
-#: Fixed by HTML: tags without content.
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Fixed by HTML: tags that stay inside a block of text.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg".split())
-#: Text of these is never shown as page text.
-_HIDDEN = frozenset("script style textarea title noscript iframe template noembed noframes head select option button svg object xmp".split())
-#: An open one ends where another block begins.
-_CLOSED_BY_BLOCK = frozenset(("p",))
-_CLOSED_BY_SELF = frozenset("li dt dd tr td th option p".split())
-_SPACE = re.compile(r"\s+")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-
-
-class Block:
-    __slots__ = ("linked", "path", "text")
-
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
-
-
-@functools.lru_cache(maxsize=50_000)
-def _entry(tag: str, attrs: str) -> str:
-    """A tag with the words of its naming attributes."""
-    words: list[str] = []
-    for m in _NAMED.finditer(attrs):
-        words += [w for w in _SPLIT.split(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()) if w]
-    hidden = " hidden" if re.search(r"\bhidden\b|display\s*:\s*none", attrs) else ""
-    return tag + ("." + ".".join(dict.fromkeys(words)) if words else "") + hidden
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, with character references decoded and white space made single."""
-    out: list[Block] = []
-    stack: list[str] = []  # tags
-    entries: list[str] = []  # tags with their names
-    held: list[str] = []
-    linked = links = hidden = 0
-    page = page or ""
-
-    def end() -> None:
-        nonlocal linked
-        if held:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(held))).strip()
-            if text and not hidden:
-                out.append(Block(text, tuple(e for t, e in zip(stack, entries, strict=True) if t not in _INLINE), linked))
-            held.clear()
-        linked = 0
-
-    def pop(to: int) -> None:
-        nonlocal links, hidden
-        for t in stack[to:]:
-            links -= t == "a"
-            hidden -= t in _HIDDEN
-        del stack[to:], entries[to:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            if not hidden:
-                held.append(page[at:stop])
-                if links:
-                    linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        inline = tag in _INLINE
-        if tag == "br":
-            held.append(" ")
-            continue
-        if not inline:
-            end()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] == tag:
-                    pop(k)
-                    break
-                if inline and stack[k] not in _INLINE:
-                    break
-            continue
-        if tag in _VOID:
-            continue
-        if tag in _RAW:
-            raw = _RAW[tag].search(page, at)
-            at = raw.end()
-            continue
-        if not inline:
-            while stack and stack[-1] in _INLINE:  # unclosed inline tags end with their block
-                pop(len(stack) - 1)
-            if stack and stack[-1] in _CLOSED_BY_BLOCK:
-                pop(len(stack) - 1)
-            if tag in _CLOSED_BY_SELF and stack and stack[-1] == tag:
-                pop(len(stack) - 1)
-        if m[3].endswith("/") and tag not in _INLINE:
-            continue
-        stack.append(tag)
-        entries.append(_entry(tag, m[3]))
-        links += tag == "a"
-        hidden += tag in _HIDDEN
-    end()
-    return out
+_MAIN_TAGS, _MAIN_NAMES = frozenset(("article", "main")), frozenset(html_pages.MAIN)
+_OTHER_TAGS, _OTHER_NAMES = frozenset(("nav", "aside", "footer", "form")), frozenset(n for names in html_pages.PARTS.values() for n in names)
 
 
+@functools.lru_cache(maxsize=100_000)
 def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "replace")) % FEATURES
 
 
-@functools.lru_cache(maxsize=20_000)
-def _path_features(path: tuple) -> tuple[int, ...]:
-    names = ["bias"]
-    for depth, entry in enumerate(reversed(path)):
-        parts = entry.replace(" ", ".").split(".")
-        names += [f"t:{parts[0]}"] + [f"w:{w}" for w in parts[1:]]
-        if depth == 0:
-            names += [f"p:{parts[0]}"] + [f"pw:{w}" for w in parts[1:]]
-    return tuple(sorted({_hash(x) for x in names}))
-
-
-def _text_features(b: Block) -> tuple[int, ...]:
-    n = len(b.text)
-    share = b.linked / max(n, 1)
-    names = [f"len:{min(9, n.bit_length())}", f"link:{0 if share == 0 else 1 if share < 0.5 else 2}"]
-    names.append(f"stop:{b.text[-1] in '.!?…:\"'}")
-    names.append(f"dots:{min(3, b.text.count('. '))}")
-    if b.text[0] in "©®|»«•·":
-        names.append("sign")
-    return tuple(map(_hash, names))
+def _own_names(node: Node) -> list[str]:
+    return [f"t:{node.tag}", *(f"w:{w}" for w in node.words)]
+
+
+def _container(node: Node) -> int:
+    """2 for a main element, 1 for a container named like one, else 0."""
+    if node.tag in _MAIN_TAGS or "main" in node.words and "role" in node.words:
+        return 2
+    return int(not _MAIN_NAMES.isdisjoint(node.words))
+
+
+def _standing(node: Node) -> tuple[int, bool]:
+    """The best container that a node is in, itself included, and whether a part of another kind lies between."""
+    best, other = node.parent.value[1:] if node.parent else (0, False)
+    own = _container(node)
+    if node.tag in _OTHER_TAGS or not own and not _OTHER_NAMES.isdisjoint(node.words):
+        return best, True
+    return (best, True) if other else (max(best, own), False)
+
+
+class Features:
+    """The features of a page's blocks. What depends on elements alone is worked out once for each element.
+
+    An element's features are those that it adds to its ancestors', so that deep pages take no more than flat ones.
+    """
+
+    def __init__(self, page: Page):
+        self.page = page
+        texts: dict[int, list[int]] = {}  # code points, and linked ones, of the blocks of one parent
+        for b in page.blocks:
+            both = texts.setdefault(id(b.node.parent or b.node), [0, 0])
+            both[0] += len(b.text)
+            both[1] += min(b.linked, len(b.text))
+        self.share = {k: linked / max(1, n) for k, (n, linked) in texts.items()}
+        if not page.nodes:
+            self._visit()
+        self.best = max((b.node.value[1] for b in page.blocks), default=0)
+
+    def _visit(self) -> None:
+        """Notes at each element the features that it adds and the container that it is in."""
+        on_path: dict[str, int] = {}
+        path: list[tuple[Node, list[str]]] = []
+        for b in self.page.blocks:
+            new, node = [], b.node
+            while node and not (node.depth < len(path) and path[node.depth][0] is node):
+                new.append(node)
+                node = node.parent
+            keep = node.depth + 1 if node else 0
+            for _, own in path[keep:]:
+                for x in own:
+                    on_path[x] -= 1
+            del path[keep:]
+            for node in reversed(new):
+                own = _own_names(node)
+                if node.value is None:
+                    self.page.nodes.append(node)
+                    node.value = (tuple(_hash(x) for x in dict.fromkeys(own) if not on_path.get(x)), *_standing(node))
+                for x in own:
+                    on_path[x] = on_path.get(x, 0) + 1
+                path.append((node, own))
+
+    def of_block(self, k: int) -> tuple[int, ...]:
+        """Features of a block besides those of the elements around it."""
+        b, page = self.page.blocks[k], self.page
+        n = len(b.text)
+        share = b.linked / max(n, 1)
+        around = self.share[id(b.node.parent or b.node)]
+        where = "none" if not self.best else "in" if b.node.value[1] == self.best else "out"
+        where += " other" if b.node.value[2] else ""
+        link = 0 if share == 0 else 1 if share < 0.6 else 2
+        beside = 0 if around == 0 else 1 if around < 0.4 else 2
+        names = ["bias", f"where:{where}", f"best:{self.best}{where}", f"p:{b.node.tag}", f"where:{where}:{b.node.tag}", *(f"pw:{w}" for w in b.node.words), f"link:{link}", f"beside:{beside}"]
+        if not self.best:
+            ends = b.text[-1] in ".!?…:\"'。"
+            size = min(10, n.bit_length())
+            names += [f"len:{size}", f"lenlink:{size}{link}", f"linkbeside:{link}{beside}", f"stop:{ends}{link}", f"dots:{min(3, b.text.count('. ') + b.text.count(', '))}", f"tag:{b.node.tag}{link}", f"taglen:{b.node.tag}{size}", f"edge:{k == 0}{k + 1 == len(page.blocks)}{min(size, 7)}{link}", f"sign:{b.text[0] in '©®|»«•·'}"]
+        return tuple(map(_hash, names))
+
+    def of_all(self) -> list[np.ndarray]:
+        """All features of each block, those of the elements around it too."""
+        return [np.array(sorted({*self.of_block(k), *(f for n in b.node.path() for f in n.value[0])})) for k, b in enumerate(self.page.blocks)]
 
 
 class Crf:
@@ -174,26 +130,25 @@ class Crf:
 
     def __init__(self, w: np.ndarray, trans: np.ndarray, first: np.ndarray):
         self.w, self.trans, self.first = w, trans, first
-        self._paths: dict[tuple, float] = {}
+        self._weights = w.tolist()
 
-    def score(self, b: Block) -> float:
-        s = self._paths.get(b.path)
-        if s is None:
-            if len(self._paths) > 50_000:
-                self._paths.clear()
-            s = self._paths[b.path] = float(sum(self.w[i] for i in _path_features(b.path)))
-        return s + sum(self.w[i] for i in _text_features(b))
+    def scores(self, page: Page) -> list[float]:
+        """The score of each block for `main`."""
+        w, features = self._weights, Features(page)
+        around: dict[int, float] = {}
+        for node in page.nodes:
+            around[id(node)] = (around[id(node.parent)] if node.parent else 0.0) + sum([w[f] for f in node.value[0]])
+        return [around[id(b.node)] + sum([w[f] for f in features.of_block(k)]) for k, b in enumerate(page.blocks)]
 
-    def decode(self, found: list[Block]) -> list[bool]:
+    def decode(self, scores: list[float]) -> list[bool]:
         """The likeliest labels by Viterbi."""
-        if not found:
+        if not scores:
             return []
         (oo, om), (mo, mm) = self.trans.tolist()
         back: list[tuple[bool, bool]] = []
         o, m = self.first.tolist()
-        m += self.score(found[0])
-        for b in found[1:]:
-            s = self.score(b)
+        m += scores[0]
+        for s in scores[1:]:
             to_o, to_m = (m + mo > o + oo), (m + mm > o + om)
             back.append((to_o, to_m))
             o, m = max(m + mo, o + oo), max(m + mm, o + om) + s
@@ -205,13 +160,13 @@ class Crf:
         return labels[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, rate: float = 0.5, ridge: float = 1e-2) -> Crf:
+def train(pages: list[tuple[Page, list[bool]]], rounds: int = ROUNDS, rate: float = 0.5, ridge: float = 1e-2) -> Crf:
     """Gradient ascent (with adaptive steps) on the conditional log-likelihood of labelled pages, minus a ridge."""
-    pages = [(b, y) for b, y in pages if b]
-    feats = [np.array([*_path_features(b.path), *_text_features(b)]) for bs, _ in pages for b in bs]
+    pages = [(p, y) for p, y in pages if p.blocks]
+    feats = [f for p, _ in pages for f in Features(p).of_all()]
     flat, row = np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     y = np.concatenate([np.array(l, int) for _, l in pages])
-    size = np.array([len(b) for b, _ in pages])
+    size = np.array([len(p.blocks) for p, _ in pages])
     begin = np.cumsum(size) - size
     longest = int(size.max())
     w, trans, first = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
@@ -251,17 +206,17 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, rat
     return Crf(w, trans, first)
 
 
-def labelled(made: list[tuple[str, list[str]]]) -> list[tuple[list[Block], list[bool]]]:
-    """Blocks and labels of pages with the texts of their main blocks, which are aligned in page order."""
+def labelled(made: list[tuple[str, list[str]]]) -> list[tuple[Page, list[bool]]]:
+    """Pages and labels of their blocks, from markup with the texts of the main blocks, aligned in page order."""
     out = []
-    for page, mains in made:
-        found, k, labels = blocks(page), 0, []
-        for b in found:
+    for markup, mains in made:
+        page, k, labels = read(markup), 0, []
+        for b in page.blocks:
             hit = k < len(mains) and b.text == mains[k]
             labels.append(hit)
             k += hit
         if k == len(mains):
-            out.append((found, labels))
+            out.append((page, labels))
     return out
 
 
@@ -270,9 +225,12 @@ def default_model() -> Crf:
     return train(labelled(html_pages.pages(TRAINING_PAGES)))
 
 
-def extract(model: Crf, page: str | None) -> str:
-    found = blocks(page)
-    return "\n".join(b.text for b, main in zip(found, model.decode(found), strict=True) if main)
+def main_blocks(model: Crf, page: Page) -> list[Block]:
+    return [b for b, main in zip(page.blocks, model.decode(model.scores(page)), strict=True) if main]
+
+
+def extract(model: Crf, markup: str | None) -> str:
+    return "\n".join(b.text for b in main_blocks(model, read(markup)))
 
 
 def _extracted(w: np.ndarray, trans: np.ndarray, first: np.ndarray):
