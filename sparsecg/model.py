@@ -20,6 +20,7 @@ class Code(Enum):
     EOF = "unexpected end of file"
     LINE_TOO_LONG = "line too long"
     EINVAL = "invalid argument"
+    ERANGE = "number out of range"
 
 
 class EngineError(Exception):
