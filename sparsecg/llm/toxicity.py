@@ -1,21 +1,23 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Learning: each labelled document votes once for each word and word stem (its first 4 and 5 letters) that it
-holds. A feature's log-odds between toxic and clean documents have a symmetric Dirichlet prior; what counts is the
-lower end of their confidence interval, so features that are too rare to be sure of say nothing.
+Learning: each labelled document counts its words, and their stems of 4 and 5 letters, at most VOTES times each, so
+that one long document doesn't speak for a class. A word's odds of standing in a toxic document come from a chain of
+Dirichlet priors: the share of toxic documents is the prior of a 4-letter stem, the stem's odds that of the 5-letter
+stem, and that one's the word's, each worth PRIOR counts. So a rare word inherits what its stem is known for, and an
+unknown one says nothing. The word's score is its log-odds against that share; if positive, less some standard errors of its
+stem's log-odds (a level of confidence), if negative, as it is down to FLOOR; and DRIFT less in either case.
 Features are hashed to BUCKETS places, which bounds counts, shuffle rows, driver and workers whatever the
-vocabulary.
-
-Scoring: a word's score is the best of its features, or -DRIFT if none speaks for toxicity. One linear scan finds
-all maximal scoring segments (each is a passage no neighbouring words could improve). By extreme-value theory the
-number of segments of score S that n clean words hold by chance is about K n exp(-lambda S); lambda solves
-E[exp(lambda s)] = 1 over clean tokens and K makes the expectation right for clean documents. Segments whose
-expectation is under SIGNIFICANT are the passages; a document's evidence is the sum of lambda S - log(K n) over
-them, which a two-parameter logistic maps to a probability. One fold is scored with log-odds learned from the other:
-lambda and K come from all its clean rows, whose word scores and best segments are counted in bins by the executors;
-the logistic from about CALIBRATION_ROWS of its rows, half of them toxic where there are so many, weighted
-back to the shares of the classes. The log-odds count every distinct text of the training rows, and every text is
-scored whole.
+vocabulary; a place that no toxic training document has holds no evidence and isn't sent anywhere.
+
+Scoring: one linear scan finds all maximal scoring segments (each is a passage no neighbouring words could improve).
+By extreme-value theory the number of segments of score S that n clean words hold by chance is about
+K n exp(-lambda S); lambda solves E[exp(lambda s)] = 1 over clean tokens and K makes the expectation right for clean
+documents. Segments whose expectation is under SIGNIFICANT are the passages; a document's evidence is the sum of
+lambda S - log(K n) over them, which a two-parameter logistic maps to a probability. One fold is scored with log-odds
+learned from the other: lambda and K come from all its clean rows, whose word scores and best segments are counted in
+bins by the executors; the logistic, and the level of confidence, from about CALIBRATION_ROWS of its rows, half of
+them toxic where there are so many, weighted back to the shares of the classes. The log-odds count every distinct text
+of the training rows, and every text is scored whole.
 
 Defined results: null or empty texts have no words and get the score of a document without passages; rows
 without a label, or with a null or other label, teach nothing; with no toxic or no clean training row all scores
@@ -25,9 +27,11 @@ that repeat a text teach once; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import functools
 import re
 import warnings
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,20 +42,18 @@ from pyspark.sql import functions as F
 from .common import arrow_map, slices, written
 
 BUCKETS = 1 << 20
-#: Documents of each class that every feature is taken to have been seen in besides.
-PRIOR = 0.5
+#: How often a document counts a feature at most, and the counts that the prior of a feature is worth.
+VOTES, PRIOR = 3, 4.0
 #: Standard errors below the log-odds; the calibration fold chooses one, as what is rare depends on the labels' number.
-CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
-DRIFT = 0.2
+CONFIDENCES = (1.0, 2.0, 3.0, 4.0)
+DRIFT, FLOOR = 1.0, -2.0
 SIGNIFICANT = 0.05
 CALIBRATION_ROWS = 8_000
 #: Bins for the best segments of clean rows: hundredths, beyond which a segment has no weight in K.
 BEST_BINS = 20_000
 THRESHOLD = 0.7
-#: A bucket seen in fewer toxic documents has no lower bound above zero.
-LEAST_TOXIC = 3
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_REMEMBER = 500_000
+_REMEMBER = 400_000
 
 
 def lower_ascii(text: str) -> str:
@@ -62,10 +64,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(lower_ascii(text)) if text else []
 
 
-def features(word: str) -> tuple[int, ...]:
-    raw = zlib.crc32(word.encode("utf-8", "replace"))
-    stems = {word[:4], word[:5]}
-    return (raw % BUCKETS, *(zlib.crc32(s.encode("utf-8", "replace"), 0x57E3) % BUCKETS for s in stems))
+@functools.lru_cache(maxsize=200_000)
+def features(word: str) -> tuple[int, int, int]:
+    """The places of a word's 4-letter stem, its 5-letter stem and itself."""
+    return tuple(zlib.crc32(s.encode("utf-8", "replace"), salt) % BUCKETS for s, salt in ((word[:4], 0x57E3), (word[:5], 0x2A91), (word, 0)))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -94,59 +96,79 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
+class Odds:
+    """What the training rows say: the places that toxic rows have, their counts in toxic and clean rows, and the share of toxic rows."""
+
+    def __init__(self, buckets: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float):
+        self.buckets, self.toxic, self.clean, self.share = buckets.astype(np.int32), toxic.astype(np.int32), clean.astype(np.int32), share
+
+
 class Scorer:
-    """Word scores from the buckets that speak for toxicity."""
+    """Word scores at levels of confidence."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray):
-        self.dense = np.zeros(BUCKETS, np.float32)
-        self.dense[buckets] = weights
-        self.known: dict[str, float] = {}
+    def __init__(self, odds: Odds, levels: tuple[float, ...]):
+        self.toxic, self.clean = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        self.toxic[odds.buckets], self.clean[odds.buckets] = odds.toxic, odds.clean
+        self.share, self.levels = odds.share, levels
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.known = np.empty((len(self.levels), 0))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > _REMEMBER:
-            known.clear()
-        for w in set(words).difference(known):
-            best = max(float(self.dense[f]) for f in features(w))
-            known[w] = best if best > 0 else -DRIFT
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        """A row for each level."""
+        if len(self.place) > _REMEMBER:
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            at = np.array([features.__wrapped__(w) for w in new])
+            own = word_scores(self.toxic[at], self.clean[at], self.share, self.levels)
+            while len(self.place) > self.known.shape[1]:
+                self.known = np.concatenate([self.known, np.empty((len(self.levels), max(1024, self.known.shape[1])))], axis=1)
+            self.known[:, len(self.place) - len(new) : len(self.place)] = own
+        return self.known[:, np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+
+
+def word_scores(toxic: np.ndarray, clean: np.ndarray, share: float, levels: tuple[float, ...]) -> np.ndarray:
+    """Scores by level of words with these counts (a row for each word: 4-letter stem, 5-letter stem, word)."""
+    odds = np.full(len(toxic), share)
+    for k in range(3):
+        odds = (toxic[:, k] + PRIOR * odds) / (toxic[:, k] + clean[:, k] + PRIOR)
+    delta = np.log(odds / (1 - odds)) - np.log(share / (1 - share))
+    error = np.sqrt(1 / (toxic[:, 0] + 0.5) + 1 / (clean[:, 0] + 0.5))
+    return np.stack([np.where(delta > 0, np.maximum(delta - z * error, 0.0), np.maximum(delta, FLOOR)) for z in levels]) - DRIFT
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, fold, text -> bucket, and the documents of each class and fold that have it."""
+    """toxic, fold, text -> bucket, and its counts in the rows of each class and fold; bucket -1 counts the rows."""
     counts = np.zeros((4, BUCKETS), np.int32)
     rows = np.zeros(4, np.int64)
     for b in batches:
         kind = (b.column(0).to_numpy(zero_copy_only=False) * 2 + b.column(1).to_numpy(zero_copy_only=False)).astype(int)
         for k, text in zip(kind.tolist(), (x.as_py() for x in b.column(2)), strict=True):
             rows[k] += 1
-            found: set[int] = set()
-            for w in set(words_of(text)):
-                found.update(features(w))
-            counts[k, np.fromiter(found, np.int64, len(found))] += 1
+            found = Counter(words_of(text))
+            if found:
+                at, place = np.unique(np.array([features(w) for w in found]), return_inverse=True)
+                times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), 3)
+                counts[k, at] += np.minimum(np.bincount(place.ravel(), weights=times), VOTES).astype(np.int32)
     at = np.flatnonzero(counts.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), *[pa.array(np.r_[counts[k, at].astype(np.int64), rows[k]]) for k in range(4)]], ["bucket", "c0", "c1", "t0", "t1"])
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, confidence: float) -> np.ndarray:
-    """Lower confidence bound of the log-odds of features, with PRIOR documents of each class added; 0 if none is sure."""
-    y, x = toxic + PRIOR, clean + PRIOR
-    delta = np.log(y / (n_toxic + 2 * PRIOR)) - np.log(x / (n_clean + 2 * PRIOR))
-    low = delta - confidence * np.sqrt(1 / y + 1 / x)
-    return np.where((toxic >= LEAST_TOXIC) & (low > 0), low, 0.0)
-
-
-def _evidence(buckets: np.ndarray, weights: np.ndarray, lam: float, k: float):
+def _evidence(odds: Odds, level: float, lam: float, k: float):
     """text -> evidence, passages, words and the score of the best segment, for each row; the other columns go on."""
     scorer: list[Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not scorer:
-            scorer.append(Scorer(buckets, weights))
+            scorer.append(Scorer(odds, (level,)))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for lo, hi in slices(texts):
-                out = [document_evidence(scorer[0].scores(words_of(t)), lam, k) for t in texts[lo:hi]]
+                out = [document_evidence(scorer[0].scores(words_of(t))[0], lam, k) for t in texts[lo:hi]]
                 cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), _PASSAGES, pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), *cols], [*b.schema.names[:-1], "evidence", "passages", "n_words", "best"])
 
@@ -196,8 +218,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, lam: float, k: float, slope: float, intercept: float):
-        self.buckets, self.weights, self.lam, self.k, self.slope, self.intercept = buckets, weights, lam, k, slope, intercept
+    def __init__(self, odds: Odds, level: float, lam: float, k: float, slope: float, intercept: float):
+        self.odds, self.level, self.lam, self.k, self.slope, self.intercept = odds, level, lam, k, slope, intercept
 
 
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -212,24 +234,27 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     fold = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 2).cast("int").alias("fold")
     train = written(rows.join(first.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
     counts = arrow_map(train.select("toxic", "fold", "text"), _count, "bucket long, c0 long, c1 long, t0 long, t1 long")
-    sums = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]).where(f"t0 + t1 >= {LEAST_TOXIC} or bucket < 0")
-    got = np.array(sums.collect(), np.int64).reshape(-1, 5)  # BUCKETS rows at most
+    # a place that no toxic row has is neutral; the others are BUCKETS rows at most
+    sums = counts.groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in ("c0", "c1", "t0", "t1")]).where("t0 + t1 > 0 or bucket < 0")
+    table = sums.withColumn("bucket", F.col("bucket").cast("int")).toArrow()
+    got = np.stack([table.column(c).to_numpy() for c in ("bucket", "c0", "c1", "t0", "t1")], 1).astype(np.int64)
     rows_n = got[got[:, 0] < 0][:, 1:].sum(0) if len(got) else np.zeros(4, np.int64)
     got = got[got[:, 0] >= 0]
     if not (rows_n[0] + rows_n[1] and rows_n[2] + rows_n[3]):
-        return Model(np.empty(0, np.int64), np.empty(0), 1.0, 1.0, 0.0, -50.0)
+        return Model(Odds(got[:0, 0], got[:0, 1], got[:0, 2], 0.5), 1.0, 1.0, 1.0, 0.0, -50.0)
 
-    def weights(c: np.ndarray, t: np.ndarray, nc: int, nt: int, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-        w = log_odds(t.astype(float), c.astype(float), nt, nc, confidence)
-        return got[w > 0, 0], w[w > 0]
+    def odds(clean: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> Odds:
+        own = toxic > 0
+        return Odds(got[own, 0], toxic[own], clean[own], float(np.clip(rows[1] / max(1, rows.sum()), 1e-6, 1 - 1e-6)))
 
-    halves = [weights(got[:, 1], got[:, 3], rows_n[0], rows_n[2], z) for z in CONFIDENCES]
+    half = odds(got[:, 1], got[:, 3], rows_n[[0, 2]])
+    whole = odds(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], np.array([rows_n[0] + rows_n[1], rows_n[2] + rows_n[3]]))
     # rows of each class under a place in the order of a hash, set so that about calibration_rows of them are
     shares = sample_shares(int(rows_n[1]), int(rows_n[3]), calibration_rows)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sampled = place < F.when(F.col("toxic") == 1, int(1_000_000 * shares[1])).otherwise(int(1_000_000 * shares[0]))
     fold_rows = train.where("fold = 1").select("toxic", sampled.alias("sampled"), "text").where("toxic = 0 or sampled")
-    scored = written(arrow_map(fold_rows, _calibration(halves), "z int, toxic int, n long, segments array<double>, bin int, weight long"), "calibration")
+    scored = written(arrow_map(fold_rows, _calibration(half), "z int, toxic int, n long, segments array<double>, bin int, weight long"), "calibration")
     found = scored.where("bin is null").select("z", "toxic", "n", "segments").collect()  # rows of the sample
     bins = scored.where("bin is not null").groupBy("z", "bin").agg(F.sum("weight").alias("weight")).collect()  # 256 + BEST_BINS a level at most
     best = None
@@ -243,9 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
             best = (*fitted, z)
     if best is None:  # one class alone in the fold
         warnings.warn("toxicity: the calibration fold has no rows of one class, or they don't differ", stacklevel=2)
-        return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], CONFIDENCES[0]), 1.0, 1.0, 1.0, -3.0)
+        return Model(whole, CONFIDENCES[0], 1.0, 1.0, 1.0, -3.0)
     _, lam, chance, slope, intercept, z = best
-    return Model(*weights(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], rows_n[0] + rows_n[1], rows_n[2] + rows_n[3], z), lam, chance, slope, intercept)
+    return Model(whole, z, lam, chance, slope, intercept)
 
 
 def sample_shares(clean: int, toxic: int, rows: int) -> tuple[float, float]:
@@ -254,7 +279,7 @@ def sample_shares(clean: int, toxic: int, rows: int) -> tuple[float, float]:
     return min(1.0, (rows - min(some, toxic)) / max(clean, 1)), min(1.0, some / max(toxic, 1))
 
 
-def _calibration(halves: list[tuple[np.ndarray, np.ndarray]]):
+def _calibration(odds: Odds):
     """toxic, sampled, text -> for each level of confidence the segments' scores of each sampled text, and a task's
 
     counts over clean texts by bin: words by score in tenths (bins under 256), and words by the best segment of
@@ -262,16 +287,15 @@ def _calibration(halves: list[tuple[np.ndarray, np.ndarray]]):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(*h) for h in halves]
-        totals = np.zeros((len(halves), 256 + BEST_BINS), np.int64)
+        scorer = Scorer(odds, CONFIDENCES)
+        totals = np.zeros((len(CONFIDENCES), 256 + BEST_BINS), np.int64)
         types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int64())
         names = ["z", "toxic", "n", "segments", "bin", "weight"]
         for b in batches:
             out = []
             for toxic, sampled, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True):
                 words = words_of(text)
-                for k, scorer in enumerate(scorers):
-                    s = scorer.scores(words)
+                for k, s in enumerate(scorer.scores(words)):
                     found = [x for *_, x in segments(s)]
                     if toxic == 0:
                         totals[k, :256] += np.bincount(np.minimum(np.rint(np.maximum(s, 0) * 10), 255).astype(int), minlength=256)
@@ -315,7 +339,7 @@ def _sum_evidence(found: list[float], n: int, lam: float, k: float) -> float:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, passages (words start to end, with their segment's score) for each row of docs(doc_id, text)."""
-    found = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _evidence(model.buckets, model.weights, model.lam, model.k), f"doc_id long, {_EVIDENCE}")
+    found = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _evidence(model.odds, model.level, model.lam, model.k), f"doc_id long, {_EVIDENCE}")
     p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.intercept))))
     return found.select("doc_id", p.alias("score"), "passages", "n_words")
 
@@ -323,7 +347,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns."""
     model = fit(docs, labels)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    found = arrow_map(packed, _evidence(model.buckets, model.weights, model.lam, model.k), f"row {packed.schema['row'].dataType.simpleString()}, {_EVIDENCE}")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    found = arrow_map(packed, _evidence(model.odds, model.level, model.lam, model.k), f"row {packed.schema['row'].dataType.simpleString()}, {_EVIDENCE}")
     p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.intercept))))
     return found.where(p < threshold).select("row.*")

@@ -551,6 +551,13 @@ def test_segments_are_maximal(s):
     assert all(sum(s[a:b]) == pytest.approx(x) for a, b, x in got)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_segments_stand_where_their_definition_says(seed):
+    rng = np.random.default_rng(seed)
+    s = rng.normal(-0.4, 1.2, rng.integers(1, 40))  # no ties
+    assert [(a, b) for a, b, _ in toxicity.segments(s)] == [(a, b) for a, b, _ in slow_segments(s.tolist())]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(1)
@@ -582,7 +589,37 @@ def test_held_out_labels_do_not_matter(spark, labelled):
     d, labels = labelled
     other = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(d, labels), toxicity.fit(d, other)
-    assert (a.weights == b.weights).all() and a.slope == pytest.approx(b.slope)
+    assert all((getattr(a.odds, k) == getattr(b.odds, k)).all() for k in ("buckets", "toxic", "clean"))
+    assert a.odds.share == b.odds.share and a.slope == pytest.approx(b.slope)
+
+
+def slow_word_score(word, rows, level):
+    """From the words of each training row and its label, by the chain of priors."""
+    share = sum(y for _, y in rows) / len(rows)
+    stems = [lambda w: w[:4], lambda w: w[:5], lambda w: w]
+    counts = [[sum(min(3, sum(f(x) == f(word) for x in w)) for w, y in rows if y == label) for label in (1, 0)] for f in stems]
+    counts = [c if c[0] else [0, 0] for c in counts]
+    odds = share
+    for toxic, clean in counts:
+        odds = (toxic + 4 * odds) / (toxic + clean + 4)
+    delta = np.log(odds / (1 - odds)) - np.log(share / (1 - share))
+    error = np.sqrt(1 / (counts[0][0] + 0.5) + 1 / (counts[0][1] + 0.5))
+    return (max(delta - level * error, 0) if delta > 0 else max(delta, -2)) - 1
+
+
+def test_fitted_words_against_a_plain_count(spark, labelled):
+    d, labels = labelled
+    model = toxicity.fit(d, labels)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    rows, seen = [], set()
+    for i in range(900):
+        if zlib.crc32(str(i).encode()) % 3 != 1 and texts[i] not in seen:
+            seen.add(texts[i])
+            rows.append((texts[i].split(), int(i % 5 == 0)))
+    scorer = toxicity.Scorer(model.odds, (model.level,))
+    words = ["grub", "sludge", "vermin", "w1", "w17", "w299", "vermicelli", "unseen"]
+    assert scorer.scores(words)[0].tolist() == pytest.approx([slow_word_score(w, rows, model.level) for w in words])
+    assert (scorer.scores(words[::-1])[0][::-1] == scorer.scores(words)[0]).all()
 
 
 def test_sample_does_not_bound_the_word_statistics(spark, labelled, monkeypatch):
