@@ -9,12 +9,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .model import Code, EngineError, Header, SolveOptions
-from .operators import matrix, partition, vectors
+from .operators import partition, vectors
 from .plans import cg, partitioners
 from .sources import matrix_market as mm
 
-#: Names of solvers; the device variants run inside one task.
-SOLVERS = {"classic": cg.classic, "pipelined": cg.pipelined}
+#: Names of solvers, and further spellings of them; the device variants run inside one task.
+SOLVERS = {"classic": cg.classic, "pipelined": cg.pipelined, "cg": cg.classic, "cg-pipelined": cg.pipelined}
+ONE_TASK = {"one-task": False, "one-task-pipelined": True, "device": False, "device-pipelined": True}
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,7 +25,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("A")
     s.add_argument("b", nargs="?")
     s.add_argument("x0", nargs="?")
-    s.add_argument("--solver", choices=[*SOLVERS, "one-task"], default="classic")
+    s.add_argument("--solver", choices=[*SOLVERS, *ONE_TASK], default="classic")
     s.add_argument("--max-iterations", type=int, default=100)
     for name, default in (("residual-atol", 0.0), ("residual-rtol", 1e-9), ("diff-atol", 0.0), ("diff-rtol", 0.0), ("epsilon", 0.0)):
         s.add_argument(f"--{name}", type=float, default=default)
@@ -70,13 +71,13 @@ def _solve(spark: SparkSession, o: argparse.Namespace) -> None:
         for r in partition.comm_matrix(partition.halo_send(partition.edges(a), parts)).orderBy("p", "q").collect():  # the square of the number of parts
             print(r.p + 1, r.q + 1, r.n)
     options = SolveOptions(o.max_iterations, o.residual_atol, o.residual_rtol, o.diff_atol, o.diff_rtol, o.epsilon)
-    if o.solver == "one-task":
-        x = cg.one_task(a, b, n, options)
+    if o.solver in ONE_TASK:
+        x = cg.one_task(a, b, n, options, ONE_TASK[o.solver])
     else:
         res = SOLVERS[o.solver](a, b, n, options, x0)
         x = res.x
         if not o.quiet:
-            print(cg.report(res, n, matrix.expand(a).count()), file=sys.stderr, end="")
+            print(cg.report(res), file=sys.stderr, end="")
     if exact is not None:
         print(f"exact solution 2-norm: {vectors.nrm2(exact).first().value:.17g}\nerror 2-norm: {cg.error_norm(x, exact):.17g}", file=sys.stderr)
     if o.output:

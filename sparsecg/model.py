@@ -83,3 +83,4 @@ class SolveResult:
     counts: dict[str, int] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
     status: str = "converged"
+    report: object = None

@@ -39,10 +39,15 @@ def product(f: DataFrame, x: DataFrame, n: int) -> DataFrame:
 
 
 def dsymv(alpha: float, f: DataFrame, x: DataFrame, beta: float, y: DataFrame, n: int) -> DataFrame:
-    """alpha F x + beta y"""
-    s = product(f, x, n)
+    """alpha F x + beta y; an entry whose row y lacks or whose column x lacks is an error when the result is read."""
+    v = x.select(F.col("i").alias("j"), "v")
+    v = F.broadcast(v) if n <= BROADCAST_ROWS else v
+    met = F.coalesce("v", F.raise_error(F.lit(Code.VECTOR_INCOMPATIBLE_SIZE.value)).cast("double"))
+    s = f.join(v, "j", "left").groupBy("i").agg(F.sum(F.col("a") * met).alias("s"))
     old = F.lit(0.0) if beta == 0 else F.lit(float(beta)) * F.col("v")
-    return y.join(s, "i", "left").select("i", (old + F.lit(float(alpha)) * F.coalesce("s", F.lit(0.0))).alias("v"))
+    held = y.select("i", "v", F.lit(True).alias("held")).join(s, "i", "full")
+    value = F.when(F.col("held"), old + F.lit(float(alpha)) * F.coalesce("s", F.lit(0.0)))
+    return held.select("i", value.otherwise(F.raise_error(F.lit(Code.VECTOR_INCOMPATIBLE_SIZE.value)).cast("double")).alias("v"))
 
 
 def product_salted(f: DataFrame, x: DataFrame, salts: int) -> DataFrame:

@@ -187,6 +187,9 @@ _query("cg_history", SQL_BIP + ",\n" + _classic_sql(5, _HISTORY), "")(
 )
 _query("pcg_fixed", SQL_BIP + ",\n" + _pipelined_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.pipelined(m.a, m.h(), m.n, _FIXED).x.select("i", rounded("v")))(Bip(spark, d)))
 _query("cg_one_task", SQL_BIP + ",\n" + _classic_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.one_task(m.a, m.h(), m.n, _FIXED).select("i", rounded("v")))(Bip(spark, d)))
+_query("pcg_one_task", SQL_BIP + ",\n" + _pipelined_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(
+    lambda spark, d: (lambda m: cg.one_task(m.a, m.h(), m.n, _FIXED, True).select("i", rounded("v")))(Bip(spark, d))
+)
 _query("cg_converged", SQL_CHAIN + ",\n" + _classic_sql(30, "SELECT i, ROUND(x, 5) + 0.0 AS v FROM s30"), "")(
     lambda spark, d: (lambda a, n: cg.classic(a, h(spark.range(n).select(F.col("id").alias("i"))), n, SolveOptions(maxits=60, residual_rtol=1e-10)).x.select("i", rounded("v", 5)))(*chain(spark, d))
 )
@@ -205,7 +208,7 @@ _query("manufactured_error", SQL_CHAIN, "SELECT COUNT(*) AS n, TRUE AS solved FR
 
 def _op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Bip(spark, sf_dir)
-    return spark.createDataFrame(cg.work(5, m.n, matrix.expand(m.a).count()), "op string, calls long, flops long, bytes long")
+    return spark.createDataFrame(cg.classic(m.a, m.h(), m.n, _FIXED).report.rows(), "op string, calls long, flops long, bytes long")
 
 
 _query(

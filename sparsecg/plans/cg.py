@@ -3,6 +3,10 @@
 The state of an iteration is one relation (i, x, r, p, ...). The matrix product is the only join; everything else is
 a column expression on the state. A state is stored once per iteration in the shared folder, which ends the lineage
 and is read again by the iteration's reductions. Scalars are Python floats.
+
+Up to BROADCAST_ROWS rows the vector is broadcast to the stored matrix. Beyond, the matrix is stored in buckets by
+column and every state in as many by row, so that a product joins them where they lie and only partial sums of rows are
+shuffled, neither the matrix nor the state.
 """
 
 from __future__ import annotations
@@ -14,34 +18,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import drop, written
+from ..functions.scratch import bucketed, drop, written
 from ..model import Code, EngineError, SolveOptions, SolveResult
-from ..operators.matrix import BROADCAST_ROWS, expand, product
+from ..operators import matrix
+from ..operators.matrix import expand, product
 
 #: Entries of the full matrix up to which the one-task solver is allowed: about 24 bytes each.
 LOCAL_ENTRIES = 20_000_000
 
 
 class _Report:
-    def __init__(self) -> None:
+    """What a solver has done: calls, flops, bytes and seconds of each operation."""
+
+    def __init__(self, n: int, nnz_full: int) -> None:
+        self.n, self.nnz = n, nnz_full
         self.counts: Counter = Counter()
+        self.flops: Counter = Counter()
+        self.bytes: Counter = Counter()
         self.seconds: Counter = Counter()
 
-    def timed(self, op: str, f, calls: int = 1):
+    def timed(self, op: str, f):
         t = time.perf_counter()
         out = f()
-        self.counts[op] += calls
         self.seconds[op] += time.perf_counter() - t
         return out
 
+    def did(self, *ops: str) -> None:
+        """Counts a call of each, with 4-byte column numbers and 8-byte values."""
+        n = self.n
+        for op in ops:
+            flops, size = {"gemv": (2 * (self.nnz + n), 12 * self.nnz + 24 * n), "scal": (0, 8 * n), "nrm2sqr": (2 * n, 8 * n)}.get(op, (2 * n, 16 * n))
+            self.counts[op] += 1
+            self.flops[op] += flops
+            self.bytes[op] += size
+
+    def rows(self) -> list[tuple[str, int, int, int]]:
+        """op, calls, flops, bytes"""
+        return [(op, self.counts[op], self.flops[op], self.bytes[op]) for op in self.counts]
+
+
+class _Store:
+    """Where the matrix and the states of one solve lie: plain tables, or buckets if a vector is too long to broadcast."""
 
-def _full(a: DataFrame, epsilon: float, n: int) -> DataFrame:
-    """Both triangles, stored; large ones are dealt by column, as products join on it."""
-    f = expand(a, epsilon)
-    return written(f if n <= BROADCAST_ROWS else f.repartition("j"), "full")
+    def __init__(self, spark: SparkSession, n: int):
+        self.wide = n > matrix.BROADCAST_ROWS
+        # as many buckets as a sum by row has partitions, so that sums and states meet without another exchange
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def matrix(self, a: DataFrame, epsilon: float) -> DataFrame:
+        """Both triangles."""
+        f = expand(a, epsilon)
+        return bucketed(f, "full", "j", self.buckets) if self.wide else written(f, "full")
+
+    def state(self, df: DataFrame, name: str, dealt: bool = True) -> DataFrame:
+        return bucketed(df, name, "i", self.buckets, dealt) if self.wide else written(df, name)
 
 
 def _start(b: DataFrame, x0: DataFrame | None) -> DataFrame:
@@ -73,19 +106,23 @@ def classic(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = N
     """Solves A x = b for a symmetric A given as one triangle, with two reductions and one product an iteration."""
     o = options or SolveOptions()
     check_sizes(a, b, n)
-    f, rep = _full(a, o.epsilon, n), _Report()
+    store = _Store(a.sparkSession, n)
+    f = store.matrix(a, o.epsilon)
+    rep = _Report(n, f.count())
     r, p, t, x = (F.col(c) for c in ("r", "p", "t", "x"))
     diff = o.diff_atol > 0 or o.diff_rtol > 0
     state = _start(b, x0)
     if x0 is None:
         state = state.select("i", "b", "x", F.col("b").alias("r"))
+        state = store.state(state, "start", False) if store.wide else state
     else:
-        state = rep.timed("gemv", lambda: written(_with_product(state, f, "x", "t", n).select("i", "b", "x", (F.col("b") - t).alias("r")), "start"))
-    sums = rep.timed("nrm2", lambda: _sum(state, F.col("b") * F.col("b"), x * x, r * r), 2)
+        given = store.state(state, "given", False) if store.wide else state
+        state = rep.timed("gemv", lambda: store.state(_with_product(given, f, "x", "t", n).select("i", "b", "x", (F.col("b") - t).alias("r")), "start"))
+    sums = rep.timed("nrm2sqr", lambda: _sum(state, F.col("b") * F.col("b"), x * x, r * r))
     bnrm2, x0nrm2, g = math.sqrt(sums[0]), math.sqrt(sums[1]), sums[2]
     rnrm2 = r0nrm2 = math.sqrt(g)
     rtol, drtol = o.residual_rtol * r0nrm2, o.diff_rtol * x0nrm2
-    res = SolveResult(None, 0, bnrm2, x0nrm2, r0nrm2, rnrm2, counts=rep.counts, seconds=rep.seconds)
+    res = SolveResult(None, 0, bnrm2, x0nrm2, r0nrm2, rnrm2, counts=rep.counts, seconds=rep.seconds, report=rep)
     state = state.select("i", "x", "r", r.alias("p"))
 
     def finish(state: DataFrame, status: str) -> SolveResult:
@@ -97,8 +134,9 @@ def classic(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = N
     free = not (o.residual_atol or o.residual_rtol or o.diff_atol or o.diff_rtol)
     old: list[DataFrame] = []
     for k in range(o.maxits):
-        st = rep.timed("gemv", lambda s=state: written(_with_product(s, f, "p", "t", n), "state"))
+        st = rep.timed("gemv", lambda s=state: store.state(_with_product(s, f, "p", "t", n), "state"))
         pt = rep.timed("dot", lambda st=st: _sum(st, p * t))[0]
+        rep.did("scal", "gemv", "dot")
         if pt == 0:
             if free and g == 0:
                 return finish(state, "exact")
@@ -106,10 +144,11 @@ def classic(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = N
         alpha = g / pt
         new_r = r - F.lit(alpha) * t
         gprev = g
-        sums = rep.timed("nrm2", lambda st=st, new_r=new_r: _sum(st, new_r * new_r, *([p * p] if diff else [])))
+        sums = rep.timed("nrm2sqr", lambda st=st, new_r=new_r: _sum(st, new_r * new_r, *([p * p] if diff else [])))
         g, rnrm2 = sums[0], math.sqrt(sums[0])
-        rep.counts["axpy"] += 3
+        rep.did("axpy", "axpy", "nrm2sqr", "aypx")
         if diff:
+            rep.did("nrm2sqr")
             res.dxnrm2 = abs(alpha) * math.sqrt(sums[1])
         res.iterations = k + 1
         beta = g / gprev if gprev else math.nan
@@ -136,24 +175,29 @@ def pipelined(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
     if o.diff_atol or o.diff_rtol:
         raise EngineError(Code.NOT_SUPPORTED, "differences of solutions as a stopping rule")
     check_sizes(a, b, n)
-    f, rep = _full(a, o.epsilon, n), _Report()
+    store = _Store(a.sparkSession, n)
+    f = store.matrix(a, o.epsilon)
+    rep = _Report(n, f.count())
     c = {k: F.col(k) for k in "xrwztpq"}
     state = _start(b, x0)
+    if store.wide:
+        state = store.state(state, "given", False)
     if x0 is None:
         state = state.select("i", "b", "x", F.col("b").alias("r"))
     else:
         state = _with_product(state, f, "x", "t", n).select("i", "b", "x", (F.col("b") - F.col("t")).alias("r"))
-    start = written(_with_product(state, f, "r", "w", n), "start")
+    start = store.state(_with_product(state, f, "r", "w", n), "start")
     sums = _sum(start, F.col("b") * F.col("b"), c["x"] * c["x"])
     zero = F.lit(0.0)
     state = start.select("i", "x", "r", "w", zero.alias("z"), zero.alias("t"), zero.alias("p"))
-    res = SolveResult(None, 0, math.sqrt(sums[0]), math.sqrt(sums[1]), 0.0, 0.0, counts=rep.counts, seconds=rep.seconds)
+    res = SolveResult(None, 0, math.sqrt(sums[0]), math.sqrt(sums[1]), 0.0, 0.0, counts=rep.counts, seconds=rep.seconds, report=rep)
     free = not (o.residual_atol or o.residual_rtol)
     gamma_prev = alpha_prev = math.inf
     rtol, old = 0.0, []
     for k in range(o.maxits):
-        st = rep.timed("gemv", lambda s=state: written(_with_product(s, f, "w", "q", n), "state"))
-        gamma, delta = rep.timed("dot", lambda st=st: _sum(st, c["r"] * c["r"], c["w"] * c["r"]), 2)
+        st = rep.timed("gemv", lambda s=state: store.state(_with_product(s, f, "w", "q", n), "state"))
+        gamma, delta = rep.timed("dot", lambda st=st: _sum(st, c["r"] * c["r"], c["w"] * c["r"]))
+        rep.did("scal", "gemv", "dot", "dot")
         res.rnrm2 = math.sqrt(gamma)
         if k == 0:
             res.r0nrm2, rtol = res.rnrm2, o.residual_rtol * res.rnrm2
@@ -170,7 +214,7 @@ def pipelined(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
         alpha = gamma / below
         z, t, p = c["q"] + F.lit(beta) * c["z"], c["w"] + F.lit(beta) * c["t"], c["r"] + F.lit(beta) * c["p"]
         state = st.select("i", (c["x"] + F.lit(alpha) * p).alias("x"), (c["r"] - F.lit(alpha) * t).alias("r"), (c["w"] - F.lit(alpha) * z).alias("w"), z.alias("z"), t.alias("t"), p.alias("p"))
-        rep.counts["axpy"] += 6
+        rep.did(*["aypx"] * 3, *["axpy"] * 3)
         res.iterations = k + 1
         res.history.append((k, res.rnrm2, alpha, beta))
         gamma_prev, alpha_prev = gamma, alpha
@@ -216,9 +260,49 @@ def local_solve(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxi
     return x, history
 
 
-def one_task(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = None) -> DataFrame:
-    """i, v: the whole classic solve inside one task, for matrices whose size a count shows to fit there."""
+def local_pipelined(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxits: int, rtol: float, atol: float) -> tuple[np.ndarray, list[tuple[int, float]]]:
+    """Pipelined iterations on arrays: both dot products of an iteration are taken before its product."""
+    n = len(b)
+    order = np.argsort(i, kind="stable")
+    i, j, a = i[order], j[order], a[order]
+    rows, start = np.unique(i, return_index=True)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(a):
+            out[rows] = np.add.reduceat(a * v[j], start)
+        return out
+
+    x, r = np.zeros(n), b.astype(float).copy()
+    w = times(r)
+    z, t, p = np.zeros(n), np.zeros(n), np.zeros(n)
+    gamma_prev = alpha_prev = math.inf
+    limit, history = 0.0, []
+    for k in range(maxits):
+        gamma, delta = float(r @ r), float(w @ r)
+        norm = math.sqrt(gamma)
+        limit = rtol * norm if k == 0 else limit
+        if gamma == 0 or limit > 0 and norm < limit or atol > 0 and norm < atol:
+            break
+        q = times(w)
+        beta = gamma / gamma_prev if k else 0.0
+        below = delta - beta * gamma / alpha_prev if k else delta
+        if below == 0:
+            break
+        alpha = gamma / below
+        z, t, p = q + beta * z, w + beta * t, r + beta * p
+        x += alpha * p
+        r -= alpha * t
+        w -= alpha * z
+        history.append((k, norm))
+        gamma_prev, alpha_prev = gamma, alpha
+    return x, history
+
+
+def one_task(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = None, pipeline: bool = False) -> DataFrame:
+    """i, v: the whole classic or pipelined solve inside one task, for matrices whose size a count shows to fit there."""
     o = options or SolveOptions()
+    solve = local_pipelined if pipeline else local_solve
     f = expand(a, o.epsilon)
     if f.count() > LOCAL_ENTRIES or n > LOCAL_ENTRIES:
         raise EngineError(Code.NOT_SUPPORTED, "the matrix is too large for one task")
@@ -230,32 +314,29 @@ def one_task(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
         side = j < 0
         rhs = np.zeros(n)
         rhs[i[side]] = v[side]
-        x, _ = local_solve(i[~side], j[~side], v[~side], rhs, o.maxits, o.residual_rtol, o.residual_atol)
+        x, _ = solve(i[~side], j[~side], v[~side], rhs, o.maxits, o.residual_rtol, o.residual_atol)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(x)], ["i", "v"])
 
     return rows.mapInArrow(run, "i long, v double")
 
 
-def work(iterations: int, n: int, nnz_full: int) -> list[tuple[str, int, int, int]]:
-    """op, calls, flops, bytes of classic iterations on the full matrix, 4-byte column numbers and 8-byte values."""
-    k = iterations
-    return [
-        ("gemv", k, k * 2 * (nnz_full + n), k * (12 * nnz_full + 24 * n)),
-        ("dot", k, k * 2 * n, k * 16 * n),
-        ("nrm2sqr", k, k * 2 * n, k * 8 * n),
-        ("axpy", 2 * k, 2 * k * 2 * n, 2 * k * 16 * n),
-        ("aypx", k, k * 2 * n, k * 16 * n),
-        ("scal", k, 0, k * 8 * n),
-    ]
-
-
-def report(res: SolveResult, n: int, nnz_full: int) -> str:
+def report(res: SolveResult) -> str:
     """A report of a solve: norms, totals and what each operation did."""
-    lines = [f"iterations: {res.iterations}", f"status: {res.status}", f"right-hand side 2-norm: {res.bnrm2:.17g}", f"initial guess 2-norm: {res.x0nrm2:.17g}", f"initial residual 2-norm: {res.r0nrm2:.17g}", f"residual 2-norm: {res.rnrm2:.17g}", f"difference in solution iterates 2-norm: {res.dxnrm2:.17g}"]
-    total = sum(f for _, _, f, _ in work(res.iterations, n, nnz_full))
-    seconds = sum(res.seconds.values())
-    lines += [f"total flops: {total / 1e9:.3f} Gflop", f"total flop rate: {total / 1e9 / seconds if seconds else 0:.3f} Gflop/s", f"total solver time: {seconds:.6f} seconds", "operations:"]
-    lines += [f"  {op}: {res.seconds.get(op, 0):.6f} seconds {calls} times {nbytes} B" for op, calls, _, nbytes in work(res.iterations, n, nnz_full)]
+    rep, seconds = res.report, sum(res.seconds.values())
+    lines = [
+        f"iterations: {res.iterations}",
+        f"status: {res.status}",
+        f"right-hand side 2-norm: {res.bnrm2:.17g}",
+        f"initial guess 2-norm: {res.x0nrm2:.17g}",
+        f"initial residual 2-norm: {res.r0nrm2:.17g}",
+        f"residual 2-norm: {res.rnrm2:.17g}",
+        f"difference in solution iterates 2-norm: {res.dxnrm2:.17g}",
+    ]
+    total = sum(rep.flops.values()) / 1e9
+    lines += [f"total flops: {total:.3f} Gflop", f"total flop rate: {total / seconds if seconds else 0:.3f} Gflop/s", f"total solver time: {seconds:.6f} seconds", "operations:"]
+    for op, calls, _, size in rep.rows():
+        took = res.seconds.get(op, 0.0)  # vector updates are part of the product that reads them
+        lines.append(f"  {op}: {took:.6f} seconds {calls} times {size} B {size / 1e9 / took if took else 0:.3f} GB/s")
     return "\n".join(lines) + "\n"
 
 

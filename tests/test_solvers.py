@@ -98,13 +98,71 @@ def test_random_system_agrees_everywhere(spark):
     a = mat(spark, [(i, j, float(m[i, j])) for i in range(n) for j in range(i, n)])
     want = np.linalg.solve(m, b)
     o = SolveOptions(maxits=80, residual_rtol=1e-11)
-    for x in (cg.classic(a, vec(spark, b), n, o).x, cg.pipelined(a, vec(spark, b), n, o).x, cg.one_task(a, vec(spark, b), n, o)):
+    for x in (cg.classic(a, vec(spark, b), n, o).x, cg.pipelined(a, vec(spark, b), n, o).x, cg.one_task(a, vec(spark, b), n, o), cg.one_task(a, vec(spark, b), n, o, True)):
         assert np.allclose(values(x), want, atol=1e-8)
     exact = vec(spark, want)
     res = cg.classic(a, cg.manufactured(a, exact, n), n, o)
     assert cg.error_norm(res.x, exact) < 1e-8
-    text = cg.report(res, n, n * n)
-    assert "iterations:" in text and "gemv" in text
+    text = cg.report(res)
+    assert "iterations:" in text and "gemv" in text and "GB/s" in text
+    k, rows = res.iterations, {op: rest for op, *rest in res.report.rows()}
+    assert rows["gemv"] == [k, 2 * k * (n * n + n), k * (12 * n * n + 24 * n)] and rows["axpy"][0] == 2 * k and rows["dot"] == [k, 2 * k * n, 16 * k * n]
+
+
+def exchanges(df):
+    """Lines of the plan with an exchange, and all lines."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [x for x in lines if "Exchange" in x], lines
+
+
+@pytest.mark.parametrize("solve", [cg.classic, cg.pipelined])
+def test_long_vectors_leave_the_matrix_where_it_lies(spark, monkeypatch, solve):
+    monkeypatch.setattr(matrix, "BROADCAST_ROWS", 0)
+    plans = []
+    plain = cg._with_product
+
+    def noted(state, f, *args):
+        out = plain(state, f, *args)
+        plans.append(out)
+        return out
+
+    monkeypatch.setattr(cg, "_with_product", noted)
+    rng = np.random.default_rng(5)
+    n = 40
+    m = rng.normal(size=(n, n))
+    m = m @ m.T + n * np.eye(n)
+    b = rng.normal(size=n)
+    a = mat(spark, [(i, j, float(m[i, j])) for i in range(n) for j in range(i, n)])
+    o = SolveOptions(maxits=60, residual_rtol=1e-10)
+    res = solve(a, vec(spark, b), n, o, vec(spark, rng.normal(size=n)))
+    assert np.allclose(values(res.x), np.linalg.solve(m, b), atol=1e-7)
+    moved, lines = exchanges(plans[-1])
+    assert any("FileScan" in x for x in lines)
+    # the partial sums of rows, and nothing else
+    assert len(moved) == 1 and "hashpartitioning(i" in moved[0]
+
+
+def test_places_that_one_side_lacks_are_errors(spark):
+    one, two = vec(spark, [1]), vec(spark, [1, 2])
+    packed = spark.createDataFrame([(0, 5, 1.0)], "pos long, i long, v double")
+    for call in (lambda: vectors.axpy(1, one, two), lambda: vectors.aypx(1, two, one), lambda: vectors.dot(two, one)):
+        with pytest.raises(Exception, match="incompatible size"):
+            call().collect()
+    for call in (lambda: vectors.sparse_dot(packed, two), lambda: vectors.sparse_axpy(1, packed, two), lambda: vectors.gather(packed, two), lambda: vectors.gather_zero(packed, two)[1], lambda: vectors.scatter(two, packed)):
+        with pytest.raises(Exception, match="out of bounds"):
+            call().collect()
+    f = mat(spark, [(0, 3, 1.0)])
+    for x, y in ((vec(spark, [1, 2]), vec(spark, [1, 2, 3, 4])), (vec(spark, [1, 2, 3, 4]), one.where("false"))):
+        with pytest.raises(Exception, match="incompatible size"):
+            matrix.dsymv(1.0, f, x, 0.0, y, 4).collect()
+    for call, code in ((lambda: vectors.gather(one, two), Code.VECTOR_EXPECTED_PACKED), (lambda: vectors.scatter(packed, packed), Code.VECTOR_EXPECTED_FULL)):
+        with pytest.raises(EngineError) as e:
+            call()
+        assert e.value.code is code
+    assert vectors.sparse_dot(two, two).first().value == 5 and values(vectors.sparse_axpy(2, two, two)) == [3, 6]
+    parts = spark.createDataFrame([(0, 0), (1, 1)], "i long, p int")
+    assert {(r.p, r.value) for r in vectors.nrm2sqr_by_part(vec(spark, [-3, 4]), parts).collect()} == {(0, 9.0), (1, 16.0)}
+    assert {(r.p, r.value) for r in vectors.asum_by_part(vec(spark, [-3, 4]), parts).collect()} == {(0, 3.0), (1, 4.0)}
 
 
 def test_sparse_vectors(spark):

@@ -40,7 +40,7 @@ def test_dissection_is_a_permutation_with_separators_last(spark):
     assert sorted(partitioners.dissect(0, np.empty(0, int), np.empty(0, int))) == []
 
 
-@pytest.mark.parametrize("solver", ["classic", "pipelined", "one-task"])
+@pytest.mark.parametrize("solver", ["classic", "pipelined", "one-task", "one-task-pipelined"])
 def test_solve(spark, tmp_path, solver):
     a, x = tmp_path / "a.mtx", tmp_path / f"x-{solver}.mtx"
     a.write_text(LAP3)
