@@ -19,6 +19,7 @@ def prefix_sum(df: DataFrame, order: list[str], value: Column, name: str, exclus
     totals = cut.groupBy("__range").agg(F.sum("__value").alias("__total"))  # a row for each range
     shift = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__shift"))
     within = F.sum("__value").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # a row for each range, of which there are as many as shuffle partitions
     out = cut.withColumn("__within", within).join(F.broadcast(shift), "__range")
     total = F.col("__within") + F.col("__shift") - (F.col("__value") if exclusive else F.lit(0))
     return out.withColumn(name, total).drop("__range", "__value", "__within", "__shift")

@@ -78,7 +78,7 @@ def local_ids(e: DataFrame, parts: DataFrame) -> DataFrame:
     seen = ghosts(e, parts).select("p", "i", F.lit("ghost").alias("class"), F.lit(2).alias("c"))
     ranked = row_rank(own.unionByName(seen), ["p", "c", "i"], "rank")
     first = ranked.groupBy("p").agg(F.min("rank").alias("first"))
-    return ranked.join(F.broadcast(first), "p").select("p", "i", "class", (F.col("rank") - F.col("first")).alias("id"))
+    return ranked.join(first, "p").select("p", "i", "class", (F.col("rank") - F.col("first")).alias("id"))
 
 
 def displacements(send: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def first_appearance(nz: DataFrame, rowparts: DataFrame) -> DataFrame:
     first = nz.join(rowparts, "i").groupBy("p", "j").agg(F.min("k").alias("k"))
     ranked = row_rank(first, ["p", "k"], "rank")
     start = ranked.groupBy("p").agg(F.min("rank").alias("first"))
-    return ranked.join(F.broadcast(start), "p").select("p", "j", (F.col("rank") - F.col("first")).alias("id"))
+    return ranked.join(start, "p").select("p", "j", (F.col("rank") - F.col("first")).alias("id"))
 
 
 def shared_owners(nz: DataFrame, rowparts: DataFrame, colparts: DataFrame) -> DataFrame:
@@ -129,3 +129,31 @@ def shared_owners(nz: DataFrame, rowparts: DataFrame, colparts: DataFrame) -> Da
     shared = segments.groupBy("j").agg(F.count("*").alias("c")).where("c > 1").select("j")
     own = colparts.select(F.col("i").alias("j"), F.col("p").alias("owner"))
     return segments.join(shared, "j").join(own, "j").where("p <> owner").select("j", "owner", F.col("p").alias("q"))
+
+
+def _ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place in its part p by the order, from 0; the rank is global, so a part isn't one task."""
+    ranked = row_rank(df, ["p", *order], "__rank")
+    first = ranked.groupBy("p").agg(F.min("__rank").alias("__first"))
+    return ranked.join(first, "p").withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
+
+
+def local_vector(e: DataFrame, parts: DataFrame, x: DataFrame) -> DataFrame:
+    """p, id, i, class, v: the vector of each part over its own nodes and its ghosts, by local number."""
+    return local_ids(e, parts).join(x.select("i", "v"), "i").select("p", "id", "i", "class", "v")
+
+
+def dump_halo(send: DataFrame) -> DataFrame:
+    """p, way, q, k, i: what p sends to q and receives from q, k being the place in p's buffer of that way."""
+    out = _ranked(send.select("p", "q", "i"), ["q", "i"], "k").select("p", F.lit("send").alias("way"), "q", "k", "i")
+    back = send.select(F.col("q").alias("p"), F.col("p").alias("q"), "i")
+    return out.unionByName(_ranked(back, ["q", "i"], "k").select("p", F.lit("receive").alias("way"), "q", "k", "i"))
+
+
+def dump_graph(e: DataFrame, parts: DataFrame) -> DataFrame:
+    """p, what, k, value: each part's nodes by local number, its neighbours in order, and its counts (k = 0), a row each."""
+    nodes = local_ids(e, parts).select("p", F.lit("node").alias("what"), F.col("id").cast("long").alias("k"), F.col("i").cast("long").alias("value"))
+    near = _ranked(halo_send(e, parts).select("p", "q").distinct(), ["q"], "k").select("p", F.lit("neighbour").alias("what"), "k", F.col("q").cast("long").alias("value"))
+    names = ["owned", "inner", "border", "ghost", "inner_edges", "interface_edges"]
+    own = counts(e, parts).select("p", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("value")) for c in names])).alias("x"))
+    return nodes.unionByName(near).unionByName(own.select("p", "x.what", F.lit(0).cast("long").alias("k"), "x.value"))

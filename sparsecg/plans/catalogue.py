@@ -77,6 +77,12 @@ bip("blas_nrm2", "SELECT ROUND(SQRT(SUM(v * v)), 4) + 0.0 AS value FROM price")(
 bip("blas_nrm2sqr", "SELECT ROUND(SUM(v * v), 6) + 0.0 AS value FROM h")(lambda m: vectors.nrm2sqr(m.h()).select(rounded("value")))
 bip("blas_asum", "SELECT ROUND(SUM(ABS(v)), 4) + 0.0 AS value FROM price")(lambda m: vectors.asum(m.price()).select(rounded("value", 4)))
 bip("blas_iamax", "SELECT i FROM price ORDER BY ABS(v) DESC, i LIMIT 1")(lambda m: vectors.iamax(m.price()))
+bip("blas_nrm2sqr_parts", "SELECT p, ROUND(SUM(h.v * h.v), 6) + 0.0 AS value FROM h JOIN rp USING (i) GROUP BY p")(
+    lambda m: vectors.nrm2sqr_by_part(m.h(), m.range_parts()).select("p", rounded("value"))
+)
+bip("blas_asum_parts", "SELECT p, ROUND(SUM(ABS(x.v)), 6) + 0.0 AS value FROM price x JOIN rp USING (i) GROUP BY p")(
+    lambda m: vectors.asum_by_part(m.price(), m.range_parts()).select("p", rounded("value"))
+)
 bip("blas_dot_parts", "SELECT p, ROUND(SUM(h.v * x.v), 6) + 0.0 AS value FROM h JOIN price x USING (i) JOIN rp USING (i) GROUP BY p")(lambda m: vectors.dot_by_part(m.h(), m.price(), m.range_parts()).select("p", rounded("value")))
 bip("sp_dot", "SELECT ROUND(SUM(px.v * h.v), 6) + 0.0 AS value FROM px JOIN h USING (i)")(lambda m: vectors.sparse_dot(m.packed(), m.h()).select(rounded("value")))
 bip("sp_axpy", "SELECT h.i, ROUND(h.v + 2.0 * COALESCE(s, 0), 6) + 0.0 AS v FROM h LEFT JOIN (SELECT i, SUM(v) AS s FROM px GROUP BY i) USING (i)")(lambda m: vectors.sparse_axpy(2.0, m.packed(), m.h()).select("i", rounded("v")))
@@ -96,8 +102,9 @@ coords(
     "coo_dedup_adjacent",
     "SELECT run - 1 AS pos, i, j, SUM(a) AS a FROM (SELECT *, CAST(SUM(c) OVER (ORDER BY k) AS BIGINT) AS run FROM (SELECT *, CASE WHEN i = LAG(i) OVER (ORDER BY k) AND j = LAG(j) OVER (ORDER BY k) THEN 0 ELSE 1 END AS c FROM (SELECT ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS k, i, j, a FROM nz))) GROUP BY run, i, j",
 )(lambda nz: coo.merge_adjacent(coo.permute(nz, coo.sort_rowmajor(nz)).withColumnRenamed("pos", "k")))
-coords("coo_compact_rows", "SELECT i AS old, ROW_NUMBER() OVER (ORDER BY i) - 1 AS new FROM (SELECT DISTINCT i FROM nz WHERE i % 3 <> 1)")(lambda nz: coo.renumber(nz.where("i % 3 <> 1"), "i"))
-coords("coo_compact_cols", "SELECT j AS old, ROW_NUMBER() OVER (ORDER BY j) - 1 AS new FROM (SELECT DISTINCT j FROM nz WHERE j % 3 <> 1)")(lambda nz: coo.renumber(nz.where("j % 3 <> 1"), "j"))
+# places 1, 4, 7, ... leave gaps to close
+coords("coo_compact_rows", "SELECT 3 * i + 1 AS old, ROW_NUMBER() OVER (ORDER BY i) - 1 AS new FROM (SELECT DISTINCT i FROM nz)")(lambda nz: coo.renumber(nz.withColumn("i", 3 * F.col("i") + 1), "i"))
+coords("coo_compact_cols", "SELECT 3 * j + 1 AS old, ROW_NUMBER() OVER (ORDER BY j) - 1 AS new FROM (SELECT DISTINCT j FROM nz)")(lambda nz: coo.renumber(nz.withColumn("j", 3 * F.col("j") + 1), "j"))
 coords("coo_permute", "SELECT ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS pos, i, j, a FROM nz")(lambda nz: coo.permute(nz, coo.sort_rowmajor(nz)))
 coords("scan_inclusive", "SELECT k, SUM(a) OVER (ORDER BY k) AS total FROM nz")(lambda nz: prefix_sum(nz, ["k"], F.col("a"), "total").select("k", "total"))
 coords("scan_exclusive", "SELECT k, SUM(a) OVER (ORDER BY k) - a AS total FROM nz")(lambda nz: prefix_sum(nz, ["k"], F.col("a"), "total", exclusive=True).select("k", "total"))
@@ -131,7 +138,34 @@ graph(
 )(lambda e, p, m: partition.counts(e, p))
 graph("part_ghosts", "SELECT q AS p, p AS owner, i FROM S")(lambda e, p, m: partition.ghosts(e, p))
 graph("part_interfaces", "SELECT LEAST(pu, pv) AS p, GREATEST(pu, pv) AS q, COUNT(*) AS edges, COUNT(DISTINCT CASE WHEN pu < pv THEN u ELSE v END) AS nodes_p, COUNT(DISTINCT CASE WHEN pu < pv THEN v ELSE u END) AS nodes_q FROM L WHERE pu <> pv GROUP BY 1, 2")(lambda e, p, m: partition.interfaces(e, p))
-graph("part_local_ids", "SELECT p, i, class, ROW_NUMBER() OVER (PARTITION BY p ORDER BY c, i) - 1 AS id FROM (SELECT p, i, CASE WHEN i IN (SELECT i FROM S) THEN 'border' ELSE 'inner' END AS class, CASE WHEN i IN (SELECT i FROM S) THEN 1 ELSE 0 END AS c FROM rp UNION ALL SELECT q, i, 'ghost', 2 FROM S)")(lambda e, p, m: partition.local_ids(e, p))
+_LOCAL = """
+SELECT p, i, class, ROW_NUMBER() OVER (PARTITION BY p ORDER BY c, i) - 1 AS id
+FROM (
+  SELECT p, i, CASE WHEN i IN (SELECT i FROM S) THEN 'border' ELSE 'inner' END AS class, CASE WHEN i IN (SELECT i FROM S) THEN 1 ELSE 0 END AS c FROM rp
+  UNION ALL SELECT q, i, 'ghost', 2 FROM S)
+"""
+graph("part_local_ids", _LOCAL)(lambda e, p, m: partition.local_ids(e, p))
+graph("part_vector", f"SELECT p, id, l.i, class, h.v FROM ({_LOCAL}) l JOIN h ON h.i = l.i")(lambda e, p, m: partition.local_vector(e, p, m.h()))
+graph(
+    "halo_dump",
+    """
+SELECT p, 'send' AS way, q, ROW_NUMBER() OVER (PARTITION BY p ORDER BY q, i) - 1 AS k, i FROM S
+UNION ALL SELECT q, 'receive', p, ROW_NUMBER() OVER (PARTITION BY q ORDER BY p, i) - 1, i FROM S
+""",
+)(lambda e, p, m: partition.dump_halo(partition.halo_send(e, p)))
+graph(
+    "graph_dump",
+    f"""
+SELECT p, 'node' AS what, id AS k, i AS value FROM ({_LOCAL})
+UNION ALL SELECT p, 'neighbour', ROW_NUMBER() OVER (PARTITION BY p ORDER BY q) - 1, q FROM (SELECT DISTINCT p, q FROM S)
+UNION ALL SELECT p, 'owned', 0, COUNT(*) FROM rp GROUP BY p
+UNION ALL SELECT p, 'inner', 0, COUNT(*) FILTER (i NOT IN (SELECT i FROM S)) FROM rp GROUP BY p
+UNION ALL SELECT p, 'border', 0, COUNT(*) FILTER (i IN (SELECT i FROM S)) FROM rp GROUP BY p
+UNION ALL SELECT p, 'ghost', 0, (SELECT COUNT(*) FROM S WHERE q = rp.p) FROM rp GROUP BY p
+UNION ALL SELECT p, 'inner_edges', 0, (SELECT COUNT(*) FROM L WHERE pu = pv AND pu = rp.p) FROM rp GROUP BY p
+UNION ALL SELECT p, 'interface_edges', 0, (SELECT COUNT(*) FROM L WHERE pu <> pv AND rp.p IN (pu, pv)) FROM rp GROUP BY p
+""",
+)(lambda e, p, m: partition.dump_graph(e, p))
 graph("halo_send", "SELECT p, q, i FROM S")(lambda e, p, m: partition.halo_send(e, p))
 graph("halo_displs", "SELECT p, q, c AS count, CAST(SUM(c) OVER (PARTITION BY p ORDER BY q) - c AS BIGINT) AS start FROM (SELECT p, q, COUNT(*) AS c FROM S GROUP BY p, q)")(lambda e, p, m: partition.displacements(partition.halo_send(e, p)))
 graph("comm_matrix", "SELECT p, q, COUNT(*) AS n FROM S GROUP BY p, q")(lambda e, p, m: partition.comm_matrix(partition.halo_send(e, p)))
