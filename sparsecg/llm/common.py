@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import drop as drop
@@ -13,6 +13,7 @@ from ..functions.scratch import written as written
 
 #: Bytes of an Arrow batch that a Python worker gets at once; a batch holds one row at least.
 BATCH_BYTES = 16 << 20
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Texts are handled in slices of about so many bytes inside a batch.
 SLICE_BYTES = 2 << 20
 
@@ -22,11 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in bytes, as one text can be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow with batches bounded in bytes, as one text can be very long.
+
+    The bound is an option of the session, read when the plan runs; one that the session already sets stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_OPTION, None) in (None, "-1") or int(conf.get(_BATCH_OPTION).rstrip("b")) > 1 << 31:
+        conf.set(_BATCH_OPTION, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its name, whatever signs the name holds."""
+    return df[f"`{name.replace('`', '``')}`"]
+
+
 def slices(texts: list, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of about size characters, of one text at least."""
     lo = seen = 0

@@ -29,30 +29,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, slices, written
+from .common import arrow_map, column, slices, written
 
 WINDOW = 2
 #: One line in so many ends a chunk, on average.
 DIVISOR = 4
 LONG_WORDS = 50
 MASK = (1 << 64) - 1
+FACTOR = 0x9E3779B97F4A7C15
+LEAVING = pow(FACTOR, WINDOW, 1 << 64)
 
 
 def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     """Chunks (first line, line after the last) that can be removed if they repeat."""
-    out, start = [], 0
+    out, start, rolled = [], 0, 0
     hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x in lines]
     for i, line in enumerate(lines):
+        # of the last WINDOW lines: the new one comes in, the one before them goes out
+        rolled = (rolled * FACTOR + hashes[i] - (hashes[i - WINDOW] * LEAVING if i >= WINDOW else 0)) & MASK
         if len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS:
             if i - start > 1:
                 out.append((start, i))
             out.append((i, i + 1))
             start = i + 1
             continue
-        rolled = 0
-        for h in hashes[max(start, i - WINDOW + 1) : i + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & MASK
         if (rolled >> 20) % DIVISOR == 0 and i + 1 - start > 1:
             out.append((start, i + 1))
             start = i + 1
@@ -170,9 +172,9 @@ def remove_repeated(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int,
     gone = repeated(docs, cut).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")).hint("shuffle_hash")
     text = docs["text"].cast("string")
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(text) == gone["key"]), "left")
-    row = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    row = F.struct(*[column(docs, c) for c in docs.columns if c != "text"])
     packed = joined.select(row.alias("row"), text.alias("text"), gone["gone"].alias("gone"))
-    return arrow_map(packed, _cut, f"row {packed.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    return arrow_map(packed, _cut, StructType([packed.schema["row"], *StructType.fromDDL("text string, n_lines long, n_removed long").fields]))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     out = remove_repeated(docs, spans)
     cols = []
     for f in docs.schema:
-        c = F.col("text").cast(f.dataType) if f.name == "text" else F.col(f"row.`{f.name}`")
+        c = F.col("text").cast(f.dataType) if f.name == "text" else F.col("row")[f.name]
         if f.name == "n_chars":
             c = F.when(F.col("n_removed") > 0, F.char_length("text").cast(f.dataType)).otherwise(c)
         cols.append(c.alias(f.name))

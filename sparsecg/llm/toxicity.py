@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, slices, written
+from .common import arrow_map, column, slices, written
 
 BUCKETS = 1 << 20
 #: How often a document counts a feature at most, and the counts that the prior of a feature is worth.
@@ -347,7 +348,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns."""
     model = fit(docs, labels)
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    found = arrow_map(packed, _evidence(model.odds, model.level, model.lam, model.k), f"row {packed.schema['row'].dataType.simpleString()}, {_EVIDENCE}")
+    packed = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    fields = StructType([packed.schema["row"], *StructType.fromDDL(_EVIDENCE).fields])
+    found = arrow_map(packed, _evidence(model.odds, model.level, model.lam, model.k), fields)
     p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.intercept))))
     return found.where(p < threshold).select("row.*")

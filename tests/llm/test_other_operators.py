@@ -256,6 +256,8 @@ def test_tree(spark):
         assert [m.depth for m in own] == list(range(n.depth + 1)) and own[-1] is n
         for m in own[:-1]:
             assert all(inside(x, m) for x in nodes if m.stream_start <= x.stream_start <= n.stream_start)
+    lone = chat_tree.Tree(spark.createDataFrame([(None, k % 2, "user", f"t{k // 2}", "n", 1) for k in range(6)], CONV), tokenizer_path("byte_bpe_50k.json"))
+    assert [(r.conv_id, r.n_turns) for r in lone.read_back().collect()] == [(None, 1)] * 6 and lone.nodes.count() == 3
     empty = chat_tree.Tree(df.where("false"), tokenizer_path("byte_bpe_50k.json"))
     assert empty.nodes.count() == 0 and empty.read_back().count() == 0
 

@@ -388,6 +388,40 @@ def test_passage_that_overlaps_itself_keeps_its_first_place(spark):
     assert [(r.text, r.n_lines, r.n_removed) for r in out] == [("\n".join([line] * 5), 12, 7)]
 
 
+def slow_chunks(lines):
+    """Boundaries from the sum over the last two lines, worked out anew at each line."""
+    out, start = [], 0
+    h = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+    for i, line in enumerate(lines):
+        if len(line.split()) >= 50:
+            out += [(start, i)] * (i - start > 1) + [(i, i + 1)]
+            start = i + 1
+        elif i - start >= 1 and ((((h[i - 1] * 0x9E3779B97F4A7C15 + h[i]) % 2**64) >> 20) % 4 == 0):
+            out.append((start, i + 1))
+            start = i + 1
+    return out + [(start, len(lines))] * (len(lines) - start > 1)
+
+
+@given(st.lists(st.sampled_from(["", "a", "b c", "é", "long " * 50, "x " * 49, *map(str, range(20))]), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_chunks_by_their_definition(lines):
+    assert line_chunks.chunk_lines(lines) == slow_chunks(lines)
+
+
+def test_stages_take_any_column_names(spark):
+    """Dots, backticks and names that operators use themselves."""
+    rows = [(i, f"one {i}\nshared words {'here ' * 60}\nend", 1, "x", 2.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, `c``d` string, row double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    out = line_chunks.cleaned(df)
+    assert out.columns == df.columns and [tuple(r)[2:] for r in out.collect()] == [(1, "x", 2.0)] * 6
+    out = toxicity.drop_toxic(df, labels)
+    assert out.columns == df.columns
+    assert simhash_gray.keep_one(df).columns == df.columns
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    assert positional_index.drop_contaminated(df, bench).count() == 6
+
+
 def test_chunks_resist_shifts():
     lines = [f"line {k * 7919 % 1000}" for k in range(200)]
     a = {"\n".join(lines[x:y]) for x, y in line_chunks.chunk_lines(lines)}
