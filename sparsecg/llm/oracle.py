@@ -59,4 +59,57 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_chat_prefix_tree": OP4, "op5_embedding_tiles": OP5, "op7_positional_decontamination": OP7}
+
+
+def _either_case(pattern: str) -> str:
+    """Letters of a pattern without classes in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+_GLUE = r"""["'']?\x20*[:=]\x20*["'']?"""
+_PATTERNS = {
+    "assign": f"({_either_case('password|passwd|secret|token|api_?key')}){_GLUE}([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "id": f"\\b({_either_case('client_?id|access_?key_?id|key_?id|account_?id|user(?:_?name)?|login')}){_GLUE}([A-Za-z0-9_.@-]{{3,}})",
+    "value": "[A-Za-z0-9+/]+={0,2}",
+    "endpoint": r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\x20\x09-\x0D" + '"' + r"''<>]+",
+}
+_GOOD = {
+    "assign": "length(regexp_extract(m, '{p}', 2)) >= 6",
+    "access": "length(m) >= 20",
+    "hex": "length(m) >= 24",
+    "id": "true",
+    "value": "length(rtrim(m, '=')) >= 32 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')",
+    "endpoint": "true",
+}
+_SUM = "COALESCE(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+_EACH = "\nUNION ALL ".join(
+    f"""SELECT r, '{kind}' AS kind, {k} AS kn, m, {_GOOD[kind].replace('{p}', p)} AS good,
+  {_SUM.format(x='gaps[1:i]')} + {_SUM.format(x='ms[1:i - 1]')} AS s
+FROM (SELECT r, ms, gaps, i, ms[i] AS m FROM (
+  SELECT r, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps FROM d)))"""
+    for k, (kind, p) in enumerate(_PATTERNS.items())
+)
+_NEAR = "o.r = w.r AND o.s <= w.e + 200 AND o.e >= w.s - 200 AND (o.e <= w.s OR o.s >= w.e)"
+OP2 = f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, COALESCE(text, '') AS text FROM documents),
+parts AS MATERIALIZED (SELECT r, kind, kn, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM ({_EACH}) WHERE good),
+secrets AS (SELECT * FROM parts WHERE kind IN ('assign', 'hex', 'value')),
+identifiers AS (SELECT * FROM parts WHERE kind IN ('access', 'id')),
+spans AS (
+  SELECT * FROM parts WHERE kn < 3
+  UNION ALL SELECT * FROM parts w WHERE kind = 'id' AND EXISTS (SELECT 1 FROM secrets o WHERE {_NEAR})
+  UNION ALL SELECT * FROM parts w WHERE kind = 'value' AND EXISTS (SELECT 1 FROM identifiers o WHERE {_NEAR})
+  UNION ALL SELECT DISTINCT w.* FROM parts w JOIN secrets o ON {_NEAR} JOIN identifiers q ON {_NEAR.replace('o.', 'q.')}
+    WHERE w.kind = 'endpoint' AND (o.e <= q.s OR q.e <= o.s)),
+found AS (
+  SELECT r, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn) FILTER (kn < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn, e) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM d LEFT JOIN found USING (r)
+"""
+
+ORACLE_SQL = {"op2_secret_linking": OP2, "op4_chat_prefix_tree": OP4, "op5_embedding_tiles": OP5, "op7_positional_decontamination": OP7}

@@ -32,10 +32,12 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: No word character of ASCII stands before.
+_FRONT = r"(?<![A-Za-z0-9_])"
 WEAK = (
-    ("id", r"""(?i)\b(client_?id|access_?key_?id|key_?id|account_?id|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", 2, 3),
+    ("id", "(?i)" + _FRONT + r"""(client_?id|access_?key_?id|key_?id|account_?id|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", 2, 3),
     ("value", r"[A-Za-z0-9+/]{32,}={0,2}", 0, 32),
-    ("endpoint", r"""\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\s"'<>]+""", 0, 8),
+    ("endpoint", _FRONT + r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 )
 KINDS = [k for k, *_ in BASE + WEAK]
 #: What a match of a kind must also hold, wherever in it.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparsecg.llm.common import written
 from sparsecg.llm import line_chunks, packing, positional_index, secret_linking, simhash_gray, toxicity
+from sparsecg.llm.oracle import OP2
 from sparsecg.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, th string"
@@ -512,6 +513,15 @@ def test_linking_against_brute_force(spark):
         got[r.doc_id] = {(s.kind, s.start, s.end) for s in r.spans}
     for i in range(len(texts)):
         assert got[i] == {p for p in parts[i] if p[0] < len(secret_linking.BASE)} | slow_linked(parts[i])
+    # and the SQL of the query, over texts that have all kinds
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    names = secret_linking.KINDS
+    want = {i: ",".join(f"{names[k]}:{a}:{z}" for a, k, z in sorted((a, k, z) for k, a, z in got[i])) for i in range(len(texts))}
+    assert dict(con.execute(f"SELECT doc_id, spans FROM ({OP2})").fetchall()) == want
 
 
 # --- contamination --------------------------------------------------------------------------------------------
