@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scratch import scratch_base
 from .model import Code, EngineError, Header, SolveOptions
 from .operators import partition, vectors
 from .plans import cg, partitioners
@@ -40,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("A")
     t.add_argument("output")
     t.add_argument("--parts", type=int, default=2)
-    t.add_argument("--method", choices=["bisection", "growing", "contiguous", "hashed"], default="bisection")
+    t.add_argument("--method", choices=["bisection", "kway", "growing", "contiguous", "hashed"], default="bisection")
     c = sub.add_parser("convert", help="write the binary twin of a text file")
     c.add_argument("A")
     c.add_argument("output")
@@ -49,10 +51,20 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _given(spark: SparkSession, path: str) -> str:
+    """The path, or that of a scratch file with what standard input holds if it is -."""
+    if path != "-":
+        return path
+    path = f"{scratch_base(spark)}/sparsecg-stdin-{uuid.uuid4().hex}"
+    source = getattr(sys.stdin, "buffer", sys.stdin)
+    mm._put(spark, path, iter(lambda: source.read(1 << 20), b""))
+    return path
+
+
 def _solve(spark: SparkSession, o: argparse.Namespace) -> None:
     if o.b and o.manufactured_solution:
         raise EngineError(Code.EINVAL, "a right-hand side and a manufactured solution exclude each other")
-    h, a = mm.solver_matrix(spark, o.A)
+    h, a = mm.solver_matrix(spark, _given(spark, o.A))
     n = h.nrows
     exact = None
     if o.manufactured_solution:
@@ -60,7 +72,7 @@ def _solve(spark: SparkSession, o: argparse.Namespace) -> None:
         exact = vectors.scal(1 / vectors.nrm2(raw).first().value, raw)
         b = cg.manufactured(a, exact, n)
     elif o.b:
-        hb, b = mm.read(spark, o.b)
+        hb, b = mm.read(spark, _given(spark, o.b))
         if hb.format != "array" or hb.symmetry != "general" or hb.nrows != n or "v" not in b.columns:
             raise EngineError(Code.EINVAL, "the right-hand side must be an array vector with a value for each row")
     else:
@@ -68,7 +80,10 @@ def _solve(spark: SparkSession, o: argparse.Namespace) -> None:
     x0 = mm.read(spark, o.x0)[1] if o.x0 else None
     if o.output_comm_matrix and o.partition:
         parts = mm.read(spark, o.partition)[1].select("i", (F.col("v") - 1).cast("int").alias("p"))
-        for r in partition.comm_matrix(partition.halo_send(partition.edges(a), parts)).orderBy("p", "q").collect():  # the square of the number of parts
+        found = partition.comm_matrix(partition.halo_send(partition.edges(a), parts)).orderBy("p", "q").collect()  # the square of the number of parts
+        count = int(parts.agg(F.max("p")).first()[0]) + 1
+        print(f"%%MatrixMarket matrix coordinate integer general\n{count} {count} {len(found)}")
+        for r in found:
             print(r.p + 1, r.q + 1, r.n)
     options = SolveOptions(o.max_iterations, o.residual_atol, o.residual_rtol, o.diff_atol, o.diff_rtol, o.epsilon)
     if o.solver in ONE_TASK:
@@ -85,10 +100,11 @@ def _solve(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def _partition(spark: SparkSession, o: argparse.Namespace) -> None:
-    h, a = mm.solver_matrix(spark, o.A)
+    h, a = mm.solver_matrix(spark, _given(spark, o.A))
     nodes, e = spark.range(h.nrows).select(F.col("id").alias("i")), partition.edges(a)
     labels = {
         "bisection": lambda: partitioners.bisection(e, h.nrows, o.parts),
+        "kway": lambda: partitioners.kway(e, nodes, h.nrows, o.parts),
         "growing": lambda: partitioners.growing(e, nodes, h.nrows, o.parts),
         "contiguous": lambda: partitioners.contiguous(nodes, h.nrows, o.parts),
         "hashed": lambda: partitioners.hashed(nodes, o.parts),
@@ -98,7 +114,7 @@ def _partition(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def _convert(spark: SparkSession, o: argparse.Namespace) -> None:
-    h, a = mm.read(spark, o.A)
+    h, a = mm.read(spark, _given(spark, o.A))
     mm.write_binary(a, o.output, h, o.values, o.index_bytes)
 
 

@@ -47,19 +47,25 @@ def rounded(column: str, digits: int = 6):
 bip("mat_packed", "SELECT i, j, a FROM A")(lambda m: m.a)
 bip("mat_expand", "SELECT i, j, a FROM F")(lambda m: matrix.expand(m.a))
 bip("mat_expand_eps", "SELECT i, j, CASE WHEN i = j THEN a + 0.5 ELSE a END AS a FROM F")(lambda m: matrix.expand(m.a, 0.5))
-bip("mat_rowptr", "SELECT i, CAST(SUM(c) OVER (ORDER BY i) - c AS BIGINT) AS start, c AS count FROM (SELECT n.i, COUNT(A.i) AS c FROM nodes n LEFT JOIN A ON A.i = n.i GROUP BY n.i)")(lambda m: coo.row_pointers(m.a, m.nodes))
+bip("mat_rowptr",
+    "SELECT i, CAST(SUM(c) OVER (ORDER BY i) - c AS BIGINT) AS start, c AS count FROM (SELECT n.i, COUNT(A.i) AS c FROM nodes n LEFT JOIN A ON "
+    "A.i = n.i GROUP BY n.i)")(lambda m: coo.row_pointers(m.a, m.nodes))
 bip("mat_degree", "SELECT i, COUNT(*) AS degree FROM F GROUP BY i")(lambda m: matrix.expand(m.a).groupBy("i").agg(F.count("*").alias("degree")))
 bip("mat_zero", "SELECT i, j, CAST(0 AS DOUBLE) AS a FROM A")(lambda m: m.a.select("i", "j", F.lit(0.0).alias("a")))
 bip("mat_split", "SELECT p, A.i, j, a FROM A JOIN rp ON rp.i = A.i")(lambda m: matrix.split(m.a, m.range_parts()))
-bip("mat_from_rows", "SELECT i, j, a FROM A")(lambda m: matrix.from_rows(m.a.withColumn("slot", F.pmod("j", F.lit(16))).groupBy("i", "slot").agg(F.collect_list(F.struct("j", "a")).alias("e")).select("i", F.col("e.j").alias("cols"), F.col("e.a").alias("vals"))))
+bip("mat_from_rows",
+    "SELECT i, j, a FROM A")(lambda m: matrix.from_rows(m.a.withColumn("slot", F.pmod("j", F.lit(16))).groupBy("i", "slot").agg(F.collect_list(F.struct("j", "a")).alias("e")).select("i", F.col("e.j").alias("cols"), F.col("e.a").alias("vals"))))
 bip("spmv_ones", "SELECT F.i, SUM(a * v) AS s FROM F JOIN ones ON F.j = ones.i GROUP BY F.i")(lambda m: matrix.product(matrix.expand(m.a), m.ones(), m.n))
 bip("spmv_h", "SELECT F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i")(lambda m: matrix.product(matrix.expand(m.a), m.h(), m.n).select("i", rounded("s")))
 bip("spmv_alpha_beta", "SELECT p.i, ROUND(0.5 * p.v + 2.0 * COALESCE(s, 0), 6) + 0.0 AS v FROM price p LEFT JOIN (SELECT F.i, SUM(a * v) AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i) USING (i)")(
     lambda m: matrix.dsymv(2.0, matrix.expand(m.a), m.h(), 0.5, m.price(), m.n).select("i", rounded("v"))
 )
-bip("spmv_partial_final", "SELECT F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i")(lambda m: matrix.product_salted(matrix.expand(m.a), m.h(), 8).select("i", rounded("s")))
-bip("spmv_by_part", "SELECT p, F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i JOIN rp ON rp.i = F.i GROUP BY p, F.i")(lambda m: matrix.product_by_part(matrix.expand(m.a), m.h(), m.range_parts()).select("p", "i", rounded("s")))
-_query("spmv_star", SQL_STAR, "SELECT F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i")(lambda spark, d: (lambda a, n: matrix.product_salted(matrix.expand(a), h(spark.range(n).select(F.col("id").alias("i"))), 8).select("i", rounded("s")))(*star(spark, d)))
+bip("spmv_partial_final",
+    "SELECT F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i")(lambda m: matrix.product_salted(matrix.expand(m.a), m.h(), 8).select("i", rounded("s")))
+bip("spmv_by_part",
+    "SELECT p, F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i JOIN rp ON rp.i = F.i GROUP BY p, F.i")(lambda m: matrix.product_by_part(matrix.expand(m.a), m.h(), m.range_parts()).select("p", "i", rounded("s")))
+_query("spmv_star", SQL_STAR,
+    "SELECT F.i, ROUND(SUM(a * v), 6) + 0.0 AS s FROM F JOIN h ON F.j = h.i GROUP BY F.i")(lambda spark, d: (lambda a, n: matrix.product_salted(matrix.expand(a), h(spark.range(n).select(F.col("id").alias("i"))), 8).select("i", rounded("s")))(*star(spark, d)))
 
 # --- vectors --------------------------------------------------------------------------------------------------
 
@@ -83,11 +89,14 @@ bip("blas_nrm2sqr_parts", "SELECT p, ROUND(SUM(h.v * h.v), 6) + 0.0 AS value FRO
 bip("blas_asum_parts", "SELECT p, ROUND(SUM(ABS(x.v)), 6) + 0.0 AS value FROM price x JOIN rp USING (i) GROUP BY p")(
     lambda m: vectors.asum_by_part(m.price(), m.range_parts()).select("p", rounded("value"))
 )
-bip("blas_dot_parts", "SELECT p, ROUND(SUM(h.v * x.v), 6) + 0.0 AS value FROM h JOIN price x USING (i) JOIN rp USING (i) GROUP BY p")(lambda m: vectors.dot_by_part(m.h(), m.price(), m.range_parts()).select("p", rounded("value")))
+bip("blas_dot_parts",
+    "SELECT p, ROUND(SUM(h.v * x.v), 6) + 0.0 AS value FROM h JOIN price x USING (i) JOIN rp USING (i) GROUP BY p")(lambda m: vectors.dot_by_part(m.h(), m.price(), m.range_parts()).select("p", rounded("value")))
 bip("sp_dot", "SELECT ROUND(SUM(px.v * h.v), 6) + 0.0 AS value FROM px JOIN h USING (i)")(lambda m: vectors.sparse_dot(m.packed(), m.h()).select(rounded("value")))
-bip("sp_axpy", "SELECT h.i, ROUND(h.v + 2.0 * COALESCE(s, 0), 6) + 0.0 AS v FROM h LEFT JOIN (SELECT i, SUM(v) AS s FROM px GROUP BY i) USING (i)")(lambda m: vectors.sparse_axpy(2.0, m.packed(), m.h()).select("i", rounded("v")))
+bip("sp_axpy",
+    "SELECT h.i, ROUND(h.v + 2.0 * COALESCE(s, 0), 6) + 0.0 AS v FROM h LEFT JOIN (SELECT i, SUM(v) AS s FROM px GROUP BY i) USING (i)")(lambda m: vectors.sparse_axpy(2.0, m.packed(), m.h()).select("i", rounded("v")))
 bip("sp_gather", "SELECT pos, px.i, h.v FROM px JOIN h USING (i)")(lambda m: vectors.gather(m.packed(), m.h()))
-bip("sp_gather_zero_x", "SELECT pos, px.i, CASE WHEN ROW_NUMBER() OVER (PARTITION BY px.i ORDER BY pos) = 1 THEN x.v ELSE 0 END AS v FROM px JOIN price x USING (i)")(lambda m: vectors.gather_zero(m.packed(), m.price())[0])
+bip("sp_gather_zero_x",
+    "SELECT pos, px.i, CASE WHEN ROW_NUMBER() OVER (PARTITION BY px.i ORDER BY pos) = 1 THEN x.v ELSE 0 END AS v FROM px JOIN price x USING (i)")(lambda m: vectors.gather_zero(m.packed(), m.price())[0])
 bip("sp_gather_zero_y", "SELECT i, CASE WHEN i IN (SELECT i FROM px) THEN 0 ELSE v END AS v FROM price")(lambda m: vectors.gather_zero(m.packed(), m.price())[1])
 bip("sp_scatter", "SELECT y.i, COALESCE(s, y.v) AS v FROM price y LEFT JOIN (SELECT i, arg_max(v, pos) AS s FROM px GROUP BY i) USING (i)")(lambda m: vectors.scatter(m.price(), m.packed()))
 
@@ -100,7 +109,10 @@ coords("coo_dedup_sum", "SELECT i, j, SUM(a) AS a FROM nz GROUP BY i, j")(coo.me
 coords("coo_dedup_map", "SELECT k, DENSE_RANK() OVER (ORDER BY i, j) - 1 AS pos FROM nz")(coo.merge_map)
 coords(
     "coo_dedup_adjacent",
-    "SELECT run - 1 AS pos, i, j, SUM(a) AS a FROM (SELECT *, CAST(SUM(c) OVER (ORDER BY k) AS BIGINT) AS run FROM (SELECT *, CASE WHEN i = LAG(i) OVER (ORDER BY k) AND j = LAG(j) OVER (ORDER BY k) THEN 0 ELSE 1 END AS c FROM (SELECT ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS k, i, j, a FROM nz))) GROUP BY run, i, j",
+
+        "SELECT run - 1 AS pos, i, j, SUM(a) AS a FROM (SELECT *, CAST(SUM(c) OVER (ORDER BY k) AS BIGINT) AS run FROM (SELECT *, CASE WHEN i = "
+        "LAG(i) OVER (ORDER BY k) AND j = LAG(j) OVER (ORDER BY k) THEN 0 ELSE 1 END AS c FROM (SELECT ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS "
+        "k, i, j, a FROM nz))) GROUP BY run, i, j",
 )(lambda nz: coo.merge_adjacent(coo.permute(nz, coo.sort_rowmajor(nz)).withColumnRenamed("pos", "k")))
 # places 1, 4, 7, ... leave gaps to close
 coords("coo_compact_rows", "SELECT 3 * i + 1 AS old, ROW_NUMBER() OVER (ORDER BY i) - 1 AS new FROM (SELECT DISTINCT i FROM nz)")(lambda nz: coo.renumber(nz.withColumn("i", 3 * F.col("i") + 1), "i"))
@@ -116,7 +128,9 @@ def _rowp(nz: DataFrame, column: str = "i") -> DataFrame:
 
 coords("coo_part_rows", "SELECT k, nz.i, j, a, p FROM nz JOIN rowp ON rowp.i = nz.i")(lambda nz: coo.label(nz, _rowp(nz), "i", PARTS))
 coords("coo_part_cols", "SELECT k, nz.i, j, a, p FROM nz JOIN colp ON colp.i = nz.j")(lambda nz: coo.label(nz, _rowp(nz, "j"), "j", PARTS))
-coords("coo_part_offsets", "SELECT p, CAST(SUM(c) OVER (ORDER BY p) - c AS BIGINT) AS start, c AS count FROM (SELECT p, COUNT(*) AS c FROM nz JOIN rowp ON rowp.i = nz.i GROUP BY p)")(lambda nz: coo.part_offsets(coo.label(nz, _rowp(nz), "i", PARTS), PARTS))
+coords("coo_part_offsets",
+    "SELECT p, CAST(SUM(c) OVER (ORDER BY p) - c AS BIGINT) AS start, c AS count FROM (SELECT p, COUNT(*) AS c FROM nz JOIN rowp ON rowp.i = "
+    "nz.i GROUP BY p)")(lambda nz: coo.part_offsets(coo.label(nz, _rowp(nz), "i", PARTS), PARTS))
 coords("coo_part_order", "SELECT k, ROW_NUMBER() OVER (ORDER BY p, k) - 1 AS pos FROM nz JOIN rowp ON rowp.i = nz.i")(lambda nz: coo.part_order(coo.label(nz, _rowp(nz), "i", PARTS)))
 coords("sort_perm", _PLACE.format("a, k"))(lambda nz: coo.sort_keys(nz, ["a"]))
 coords("sort_invperm", "SELECT ROW_NUMBER() OVER (ORDER BY a, k) - 1 AS pos, k FROM nz")(lambda nz: coo.sort_keys(nz, ["a"]).select("pos", "k"))
@@ -134,10 +148,15 @@ graph("part_edgecut", "SELECT COUNT(*) AS edgecut FROM L WHERE pu <> pv")(lambda
 graph("part_class", "SELECT i, p, CASE WHEN i IN (SELECT i FROM S) THEN 'border' ELSE 'inner' END AS class FROM rp")(lambda e, p, m: partition.classes(e, p))
 graph(
     "part_counts",
-    "SELECT rp.p, COUNT(*) AS owned, COUNT(*) FILTER (i NOT IN (SELECT i FROM S)) AS inner, COUNT(*) FILTER (i IN (SELECT i FROM S)) AS border, (SELECT COUNT(*) FROM S WHERE q = rp.p) AS ghost, (SELECT COUNT(*) FROM L WHERE pu = pv AND pu = rp.p) AS inner_edges, (SELECT COUNT(*) FROM L WHERE pu <> pv AND rp.p IN (pu, pv)) AS interface_edges FROM rp GROUP BY rp.p".replace("AS inner,", 'AS "inner",'),
+
+        "SELECT rp.p, COUNT(*) AS owned, COUNT(*) FILTER (i NOT IN (SELECT i FROM S)) AS inner, COUNT(*) FILTER (i IN (SELECT i FROM S)) AS border, "
+        "(SELECT COUNT(*) FROM S WHERE q = rp.p) AS ghost, (SELECT COUNT(*) FROM L WHERE pu = pv AND pu = rp.p) AS inner_edges, (SELECT COUNT(*) "
+        "FROM L WHERE pu <> pv AND rp.p IN (pu, pv)) AS interface_edges FROM rp GROUP BY rp.p".replace("AS inner,", 'AS "inner",'),
 )(lambda e, p, m: partition.counts(e, p))
 graph("part_ghosts", "SELECT q AS p, p AS owner, i FROM S")(lambda e, p, m: partition.ghosts(e, p))
-graph("part_interfaces", "SELECT LEAST(pu, pv) AS p, GREATEST(pu, pv) AS q, COUNT(*) AS edges, COUNT(DISTINCT CASE WHEN pu < pv THEN u ELSE v END) AS nodes_p, COUNT(DISTINCT CASE WHEN pu < pv THEN v ELSE u END) AS nodes_q FROM L WHERE pu <> pv GROUP BY 1, 2")(lambda e, p, m: partition.interfaces(e, p))
+graph("part_interfaces",
+    "SELECT LEAST(pu, pv) AS p, GREATEST(pu, pv) AS q, COUNT(*) AS edges, COUNT(DISTINCT CASE WHEN pu < pv THEN u ELSE v END) AS nodes_p, "
+    "COUNT(DISTINCT CASE WHEN pu < pv THEN v ELSE u END) AS nodes_q FROM L WHERE pu <> pv GROUP BY 1, 2")(lambda e, p, m: partition.interfaces(e, p))
 _LOCAL = """
 SELECT p, i, class, ROW_NUMBER() OVER (PARTITION BY p ORDER BY c, i) - 1 AS id
 FROM (
@@ -167,15 +186,23 @@ UNION ALL SELECT p, 'interface_edges', 0, (SELECT COUNT(*) FROM L WHERE pu <> pv
 """,
 )(lambda e, p, m: partition.dump_graph(e, p))
 graph("halo_send", "SELECT p, q, i FROM S")(lambda e, p, m: partition.halo_send(e, p))
-graph("halo_displs", "SELECT p, q, c AS count, CAST(SUM(c) OVER (PARTITION BY p ORDER BY q) - c AS BIGINT) AS start FROM (SELECT p, q, COUNT(*) AS c FROM S GROUP BY p, q)")(lambda e, p, m: partition.displacements(partition.halo_send(e, p)))
+graph("halo_displs",
+    "SELECT p, q, c AS count, CAST(SUM(c) OVER (PARTITION BY p ORDER BY q) - c AS BIGINT) AS start FROM (SELECT p, q, COUNT(*) AS c FROM S GROUP "
+    "BY p, q)")(lambda e, p, m: partition.displacements(partition.halo_send(e, p)))
 graph("comm_matrix", "SELECT p, q, COUNT(*) AS n FROM S GROUP BY p, q")(lambda e, p, m: partition.comm_matrix(partition.halo_send(e, p)))
 graph("halo_exchange", "SELECT q AS p, p AS owner, S.i, h.v FROM S JOIN h ON h.i = S.i")(lambda e, p, m: partition.exchange(partition.halo_send(e, p), m.h()))
 coords("col_segments", "SELECT DISTINCT j, p FROM nz JOIN rowp ON rowp.i = nz.i")(lambda nz: partition.column_segments(nz, _rowp(nz)))
 _SEGS = "sg AS (SELECT DISTINCT j, p FROM nz JOIN rowp ON rowp.i = nz.i), sc AS (SELECT j, COUNT(*) AS c FROM sg GROUP BY j)"
-_query("nz_groups", f"{SQL_ENTRIES}, {_SEGS}", "SELECT k, rowp.p, CASE WHEN c = 1 THEN 0 WHEN rowp.p = colp.p THEN 1 ELSE 2 END AS grp FROM nz JOIN rowp ON rowp.i = nz.i JOIN sc ON sc.j = nz.j JOIN colp ON colp.i = nz.j")(lambda spark, d: (lambda nz: partition.entry_groups(nz, _rowp(nz), _rowp(nz, "j")))(entries(spark, d)))
-_query("shared_col_owners", f"{SQL_ENTRIES}, {_SEGS}", "SELECT sg.j, colp.p AS owner, sg.p AS q FROM sg JOIN sc ON sc.j = sg.j JOIN colp ON colp.i = sg.j WHERE c > 1 AND sg.p <> colp.p")(lambda spark, d: (lambda nz: partition.shared_owners(nz, _rowp(nz), _rowp(nz, "j")))(entries(spark, d)))
-coords("part_col_counts", "SELECT p, COUNT(*) AS entries, COUNT(DISTINCT nz.i) AS nrows, COUNT(DISTINCT j) AS ncols FROM nz JOIN rowp ON rowp.i = nz.i GROUP BY p")(lambda nz: partition.part_extents(nz, _rowp(nz)))
-coords("part_col_ids", "SELECT p, j, ROW_NUMBER() OVER (PARTITION BY p ORDER BY k) - 1 AS id FROM (SELECT p, j, MIN(k) AS k FROM nz JOIN rowp ON rowp.i = nz.i GROUP BY p, j)")(lambda nz: partition.first_appearance(nz, _rowp(nz)))
+_query("nz_groups", f"{SQL_ENTRIES}, {_SEGS}",
+    "SELECT k, rowp.p, CASE WHEN c = 1 THEN 0 WHEN rowp.p = colp.p THEN 1 ELSE 2 END AS grp FROM nz JOIN rowp ON rowp.i = nz.i JOIN sc ON sc.j = "
+    "nz.j JOIN colp ON colp.i = nz.j")(lambda spark, d: (lambda nz: partition.entry_groups(nz, _rowp(nz), _rowp(nz, "j")))(entries(spark, d)))
+_query("shared_col_owners", f"{SQL_ENTRIES}, {_SEGS}",
+    "SELECT sg.j, colp.p AS owner, sg.p AS q FROM sg JOIN sc ON sc.j = sg.j JOIN colp ON colp.i = sg.j WHERE c > 1 AND sg.p <> colp.p")(lambda spark, d: (lambda nz: partition.shared_owners(nz, _rowp(nz), _rowp(nz, "j")))(entries(spark, d)))
+coords("part_col_counts",
+    "SELECT p, COUNT(*) AS entries, COUNT(DISTINCT nz.i) AS nrows, COUNT(DISTINCT j) AS ncols FROM nz JOIN rowp ON rowp.i = nz.i GROUP BY p")(lambda nz: partition.part_extents(nz, _rowp(nz)))
+coords("part_col_ids",
+    "SELECT p, j, ROW_NUMBER() OVER (PARTITION BY p ORDER BY k) - 1 AS id FROM (SELECT p, j, MIN(k) AS k FROM nz JOIN rowp ON rowp.i = nz.i "
+    "GROUP BY p, j)")(lambda nz: partition.first_appearance(nz, _rowp(nz)))
 coords("graph_symmetrise", "SELECT DISTINCT LEAST(i, j) AS u, GREATEST(i, j) AS v FROM nz WHERE i <> j")(partition.symmetrise)
 coords("graph_bipartite", "SELECT DISTINCT i AS u, j + 1000000 AS v FROM nz")(lambda nz: partition.bipartite(nz, 1_000_000))
 
@@ -200,7 +227,9 @@ def _classic_sql(steps: int, last: str) -> str:
 
 
 def _pipelined_sql(steps: int, last: str) -> str:
-    out = ["w0 AS MATERIALIZED (SELECT F.i, SUM(a * v) AS w FROM F JOIN h ON F.j = h.i GROUP BY F.i)", "s0 AS MATERIALIZED (SELECT h.i, CAST(0 AS DOUBLE) AS x, v AS r, w, CAST(0 AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS p FROM h JOIN w0 USING (i))"]
+    out = ["w0 AS MATERIALIZED (SELECT F.i, SUM(a * v) AS w FROM F JOIN h ON F.j = h.i GROUP BY F.i)",
+        "s0 AS MATERIALIZED (SELECT h.i, CAST(0 AS DOUBLE) AS x, v AS r, w, CAST(0 AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS p "
+        "FROM h JOIN w0 USING (i))"]
     for k in range(1, steps + 1):
         o = k - 1
         beta = "CAST(0 AS DOUBLE)" if k == 1 else f"g / (SELECT g FROM c{o})"
@@ -214,13 +243,16 @@ def _pipelined_sql(steps: int, last: str) -> str:
     return ",\n".join(out) + "\n" + last
 
 
-_query("cg_fixed", SQL_BIP + ",\n" + _classic_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.classic(m.a, m.h(), m.n, _FIXED).x.select("i", rounded("v")))(Bip(spark, d)))
+_query("cg_fixed", SQL_BIP + ",\n" + _classic_sql(5,
+    "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.classic(m.a, m.h(), m.n, _FIXED).x.select("i", rounded("v")))(Bip(spark, d)))
 _HISTORY = " UNION ALL ".join(f"SELECT {k - 1} AS k, ROUND(SQRT(rr), 4) + 0.0 AS rnrm2 FROM b{k}" for k in range(1, 6))
 _query("cg_history", SQL_BIP + ",\n" + _classic_sql(5, _HISTORY), "")(
     lambda spark, d: (lambda m: spark.createDataFrame([(k, r) for k, r, *_ in cg.classic(m.a, m.h(), m.n, _FIXED).history], "k int, rnrm2 double").select("k", rounded("rnrm2", 4)))(Bip(spark, d))
 )
-_query("pcg_fixed", SQL_BIP + ",\n" + _pipelined_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.pipelined(m.a, m.h(), m.n, _FIXED).x.select("i", rounded("v")))(Bip(spark, d)))
-_query("cg_one_task", SQL_BIP + ",\n" + _classic_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.one_task(m.a, m.h(), m.n, _FIXED).select("i", rounded("v")))(Bip(spark, d)))
+_query("pcg_fixed", SQL_BIP + ",\n" + _pipelined_sql(5,
+    "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.pipelined(m.a, m.h(), m.n, _FIXED).x.select("i", rounded("v")))(Bip(spark, d)))
+_query("cg_one_task", SQL_BIP + ",\n" + _classic_sql(5,
+    "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(lambda spark, d: (lambda m: cg.one_task(m.a, m.h(), m.n, _FIXED).select("i", rounded("v")))(Bip(spark, d)))
 _query("pcg_one_task", SQL_BIP + ",\n" + _pipelined_sql(5, "SELECT i, ROUND(x, 6) + 0.0 AS v FROM s5"), "")(
     lambda spark, d: (lambda m: cg.one_task(m.a, m.h(), m.n, _FIXED, True).select("i", rounded("v")))(Bip(spark, d))
 )
@@ -248,7 +280,11 @@ def _op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _query(
     "op_stats",
     SQL_BIP + ", z AS (SELECT (SELECT COUNT(*) FROM F) AS z, n FROM nn)",
-    "SELECT op, CAST(calls AS BIGINT) AS calls, CAST(flops AS BIGINT) AS flops, CAST(bytes AS BIGINT) AS bytes FROM (SELECT 'gemv' AS op, 5 AS calls, 10 * (z + n) AS flops, 5 * (12 * z + 24 * n) AS bytes FROM z UNION ALL SELECT 'dot', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'nrm2sqr', 5, 10 * n, 40 * n FROM z UNION ALL SELECT 'axpy', 10, 20 * n, 160 * n FROM z UNION ALL SELECT 'aypx', 5, 10 * n, 80 * n FROM z UNION ALL SELECT 'scal', 5, 0, 40 * n FROM z)",
+
+        "SELECT op, CAST(calls AS BIGINT) AS calls, CAST(flops AS BIGINT) AS flops, CAST(bytes AS BIGINT) AS bytes FROM (SELECT 'gemv' AS op, 5 AS "
+        "calls, 10 * (z + n) AS flops, 5 * (12 * z + 24 * n) AS bytes FROM z UNION ALL SELECT 'dot', 5, 10 * n, 80 * n FROM z UNION ALL SELECT "
+        "'nrm2sqr', 5, 10 * n, 40 * n FROM z UNION ALL SELECT 'axpy', 10, 20 * n, 160 * n FROM z UNION ALL SELECT 'aypx', 5, 10 * n, 80 * n FROM z "
+        "UNION ALL SELECT 'scal', 5, 0, 40 * n FROM z)",
 )(_op_stats)
 
 

@@ -1,7 +1,9 @@
 """Splitting a graph's nodes into parts, and orderings that separate it.
 
-Contiguous and hashed labels need no graph. growing() spreads from seeds by joins, one level a round, and suits any
-size. bisection() and dissection() work on the adjacency inside one task and are refused beyond LOCAL_EDGES.
+Contiguous and hashed labels need no graph. growing() spreads from seeds by joins, one level a round, kway() goes on to
+balance such parts and to move border nodes to where most of their neighbours are; both suit any size. bisection() and
+the dissections work on the adjacency inside one task and are refused beyond LOCAL_EDGES, as a breadth-first order is
+sequential; kway() is the way beyond.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scan import row_rank
 from ..functions.scratch import drop, written
 from ..model import Code, EngineError
+from ..operators.partition import bipartite, symmetrise
 
-#: Edges up to which a graph is handled by one task: about 16 bytes each.
-LOCAL_EDGES = 20_000_000
+#: Edges up to which a graph is handled by one task: some 100 bytes each while its adjacency is sorted.
+LOCAL_EDGES = 10_000_000
+#: How far a part of kway() may be above the mean size.
+IMBALANCE = 0.05
 
 
 def contiguous(nodes: DataFrame, n: int, nparts: int) -> DataFrame:
@@ -46,6 +52,71 @@ def growing(edges: DataFrame, nodes: DataFrame, n: int, nparts: int) -> DataFram
     return state.select("i", F.coalesce("p", F.floor(F.col("i") * nparts / F.lit(n)).cast("int")).alias("p"))
 
 
+def _balanced(labels: DataFrame, n: int, nparts: int) -> DataFrame:
+    """labels with the last nodes of parts that are too large moved to those that have room, by ranks on both sides."""
+    most = math.ceil(n / nparts * (1 + IMBALANCE))
+    sizes = {r.p: r["count"] for r in labels.groupBy("p").count().collect()}  # a row for each part
+    over = {p: c - most for p, c in sizes.items() if c > most}
+    if not over:
+        return labels
+    room, at = [], 0  # part, first place, end
+    for p in range(nparts):
+        free = most - sizes.get(p, 0)
+        if free > 0:
+            room.append((p, at, at + free))
+            at += free
+    spark = labels.sparkSession
+    extra = labels.join(spark.createDataFrame(list(over.items()), "p int, surplus long"), "p")
+    ranked = written(row_rank(extra, ["p", "i"], "r"), "surplus")
+    first = {r.p: r.f for r in ranked.groupBy("p").agg(F.min("r").alias("f")).collect()}
+    starts, before = [], 0
+    for p, c in over.items():
+        starts.append((p, first[p], before))
+        before += c
+    moved = ranked.join(spark.createDataFrame(starts, "p int, f long, before long"), "p").where("r - f < surplus")
+    # the same buckets on both sides instead of a range join: room is dealt by stretches of one length
+    width = max(1, math.ceil(at / max(1, 4 * nparts)))
+    slots = [(p, a, z, b) for p, a, z in room for b in range(a // width, (z - 1) // width + 1)]
+    place = F.col("r") - F.col("f") + F.col("before")
+    moved = moved.select("i", place.alias("place"), F.floor(place / width).alias("b"))
+    to = moved.join(spark.createDataFrame(slots, "q int, a long, z long, b long"), "b").where("place >= a and place < z").select("i", "q")
+    return written(labels.join(to, "i", "left").select("i", F.coalesce("q", "p").alias("p")), "balanced")
+
+
+def kway(edges: DataFrame, nodes: DataFrame, n: int, nparts: int, rounds: int = 8) -> DataFrame:
+    """i, p: growing(), balanced, then rounds in which border nodes move to the part that most of their neighbours have.
+
+    Half of the nodes, by a hash that changes each round, may move in a round, so that neighbours don't swap parts
+    for ever. A round that cuts more edges, or that leaves a part too large, is undone; parts stay within IMBALANCE.
+    """
+    state = _balanced(written(growing(edges, nodes, n, nparts), "grown"), n, nparts)
+    if nparts < 2:
+        return state
+    most = math.ceil(n / nparts * (1 + IMBALANCE))
+    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+
+    def cut(labels: DataFrame) -> int:
+        far = both.join(labels.select(F.col("i").alias("u"), F.col("p").alias("pu")), "u").join(labels.select(F.col("i").alias("v"), F.col("p").alias("pv")), "v")
+        return far.where("pu <> pv").count() // 2
+
+    best = cut(state)
+    for k in range(rounds):
+        near = both.join(state.select(F.col("i").alias("v"), "p"), "v").groupBy(F.col("u").alias("i"), F.col("p").alias("q")).agg(F.count("*").alias("c"))
+        own = near.join(state, "i")
+        choice = own.groupBy("i").agg(F.max_by("q", F.struct("c", (-F.col("q")).alias("o"))).alias("q"), F.max("c").alias("c"), F.coalesce(F.max(F.when(F.col("q") == F.col("p"), F.col("c"))), F.lit(0)).alias("here"))
+        gain = choice.where((F.col("c") > F.col("here")) & (F.pmod(F.xxhash64("i", F.lit(k)), F.lit(2)) == 0)).select("i", "q")
+        new = written(state.join(gain, "i", "left").select("i", F.coalesce("q", "p").alias("p")), "moved")
+        largest = new.groupBy("p").count().agg(F.max("count")).first()[0]
+        now = cut(new)
+        if largest > most or now > best:
+            drop(new)
+            continue
+        if now == best and not gain.limit(1).count():
+            break
+        state, best = new, now
+    return state
+
+
 def _adjacency(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = u != v
     a, b = np.concatenate([u[keep], v[keep]]), np.concatenate([v[keep], u[keep]])
@@ -147,6 +218,13 @@ def bisection(edges: DataFrame, n: int, nparts: int) -> DataFrame:
     return _in_one_task(edges, "i long, p int", lambda u, v: pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(bisect_labels(n, u, v, nparts))], ["i", "p"]))
 
 
+def dissection_general(nz: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """i, place: dissection() of any matrix nz(i, j): of a square one with its transpose, else of rows and then columns as nodes."""
+    if nrows == ncols:
+        return dissection(symmetrise(nz), nrows)
+    return dissection(bipartite(nz, nrows), nrows + ncols)
+
+
 def dissection(edges: DataFrame, n: int) -> DataFrame:
     """i, place: each node's place in a nested-dissection ordering; swapping the columns inverts it."""
     import pyarrow as pa

@@ -19,6 +19,39 @@ def test_partitioners_cover_and_cut_little(spark):
     assert partition.edge_cut(e, partitioners.bisection(e, n, 4)).first().edgecut == 3
 
 
+def test_kway_balances_and_cuts_less(spark):
+    side = 12
+    node = lambda x, y: x * side + y
+    e = [(node(x, y), node(x + 1, y)) for x in range(side - 1) for y in range(side)] + [(node(x, y), node(x, y + 1)) for x in range(side) for y in range(side - 1)]
+    e += [(node(0, 0), k) for k in range(40, 60)]  # a hub
+    n = side * side + 9  # and nodes without edges
+    edges, nodes = spark.createDataFrame(e, "u long, v long"), spark.range(n).withColumnRenamed("id", "i")
+    grown = partitioners.growing(edges, nodes, n, 4)
+    labels = partitioners.kway(edges, nodes, n, 4, 4)
+    got = {r.i: r.p for r in labels.collect()}
+    assert set(got) == set(range(n))
+    sizes = np.bincount(list(got.values()), minlength=4)
+    assert sizes.max() <= np.ceil(n / 4 * 1.05)
+    hashed = partition.edge_cut(edges, partitioners.hashed(nodes, 4)).first().edgecut
+    assert partition.edge_cut(edges, labels).first().edgecut < hashed / 2 and grown.count() == n
+
+
+def test_general_dissection(spark):
+    nz = spark.createDataFrame([(i, j, 1.0) for i in range(9) for j in range(i, min(9, i + 3))], "i long, j long, a double")
+    for rows, cols in ((9, 9), (9, 11)):
+        place = [r.place for r in partitioners.dissection_general(nz, rows, cols).collect()]
+        assert sorted(place) == list(range(rows if rows == cols else rows + cols))
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    import io
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(LAP3.encode())))
+    assert cli.main(["solve", "-", "-o", str(tmp_path / "x.mtx"), "-q"]) == 0
+    assert [r.v for r in mm.read(spark, str(tmp_path / "x.mtx"))[1].orderBy("i").collect()] == pytest.approx([1.5, 2, 1.5])
+
+
 def test_growing_reaches_beyond_fifty_levels(spark):
     n = 130
     e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
