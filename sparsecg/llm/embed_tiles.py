@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, written
+from .common import arrow_map, components, drop, written
 from .simhash_gray import forest
 
 THRESHOLD = 0.9
@@ -314,8 +314,8 @@ def _compare(threshold: float, basis: dict[int, np.ndarray]):
     return run
 
 
-def tiles(classes: DataFrame, basis: dict[int, np.ndarray], threshold: float, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """classes with own (their tile, by length), and n, cell, first, tiles: for each cell the tiles to compare it with.
+def tiles(classes: DataFrame, basis: dict[int, np.ndarray], threshold: float, tile_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """classes with own (their tile, by length); n, cell, first, tiles: for each cell the tiles to compare it with; the tables behind both.
 
     A tile is named by its cell and its place in it. Lengths without a basis have one cell.
     """
@@ -346,7 +346,7 @@ def tiles(classes: DataFrame, basis: dict[int, np.ndarray], threshold: float, ti
     meets = meets.unionByName(alone.select("n", "cell", F.lit(0).cast("long").alias("first"), "tiles"))
     own = celled.select("cid", "members", "n", "v", "cell").join(sizes.select("n", "cell", "tiles"), ["n", "cell"])
     own = own.withColumn("own", F.shiftleft("cell", 32) + F.pmod(F.xxhash64("cid"), F.col("tiles"))).drop("tiles")
-    return own, meets
+    return own, meets, [celled, sizes]
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -358,11 +358,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile_bytes: int
     # a class is named by a number that tells vectors apart, so that rows without vec_id have one too
     classes = written(good.groupBy("v", "n").agg(F.count("*").alias("members"), F.min("vec_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     basis = rotations(classes)
-    own, meets = tiles(classes.select("cid", "members", "n", "v"), basis, threshold, tile_bytes)
+    own, meets, scratch = tiles(classes.select("cid", "members", "n", "v"), basis, threshold, tile_bytes)
     dealt = own.join(meets, ["n", "cell"]).withColumn("other", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("tiles") - 1)))
     dealt = dealt.select("n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "members", "v")
     dealt = dealt.repartition("n", "i", "j").sortWithinPartitions("n", "i", "j")
     found = written(arrow_map(dealt, _compare(threshold, basis), "a long, b long, links long"), "links")
+    drop(*scratch)
     comp = written(components(found.where("a <> b").select("a", "b")), "components")
     sums = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     rooted = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_map, column, slices, written
+from .common import arrow_map, column, drop, slices, written
 
 WINDOW = 2
 #: One line in so many ends a chunk, on average.
@@ -161,7 +161,9 @@ def repeated(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int, int]]])
     first = places.where("doc_id = first").groupBy("h1", "h2").agg(F.min(F.struct("key", "lo")).alias("at"))
     verdict = written(sure.join(first, ["h1", "h2"]), "verdict")
     gone = places.join(verdict, ["h1", "h2"]).where("not (doc_id = first and key = at.key and lo < at.lo + hi - lo)")
-    return written(gone.select("doc_id", "key", "lo", "hi"), "removed")
+    removed = written(gone.select("doc_id", "key", "lo", "hi"), "removed")
+    drop(chunks, twice, places, verdict)
+    return removed
 
 
 def remove_repeated(docs: DataFrame, cut: Callable[[list[str]], list[tuple[int, int]]] = chunk_lines) -> DataFrame:

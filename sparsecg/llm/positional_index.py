@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 WINDOW = 13
 BROADCAST_TERMS = 1_000_000
@@ -65,6 +65,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW):
         self.window = window
+        self.scratch: list[DataFrame] = []  # tables behind phrases(), of no use once its result is stored
         texts, names = item_words(items)
         self.items, self.names = written(texts, "items"), written(names, "names")
         vocabulary = self.items.select("term").distinct()
@@ -102,6 +103,7 @@ class Index:
         diagonals = written(first.join(second, ["dk", "th", "pos", "t2"]).select("dk", "th", "ih", "diag").distinct(), "diagonals")
         # only postings of documents with a diagonal are compared further
         candidates = written(diagonals.select("dk", "th").distinct(), "candidates")
+        self.scratch += [windows, diagonals, candidates]
         there = self.postings.where("term <> ''").join(small(candidates, candidates.count()), ["dk", "th"], "left_semi").select("dk", "th", "pos", "term").distinct()
         wanted = diagonals.join(small(self.items, self.items.count()), "ih").select("dk", "th", "ih", "diag", "n", "j", "term", (F.col("diag") + F.col("j")).alias("pos"))
         met = wanted.join(there, ["dk", "th", "pos", "term"])
@@ -148,6 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, dk, th, n_words, n_hit (words inside matches), items (ids as sorted strings) for each row of docs."""
     index = Index(docs, items, window)
     found = written(index.phrases(), "phrases")
+    drop(*index.scratch)
     doc = ["dk", "th"]
     # words inside matches: intervals of a document by start, each counted from where those before it ended
     before = F.max("end").over(Window.partitionBy(*doc).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))

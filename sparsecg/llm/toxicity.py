@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_map, column, slices, written
+from .common import arrow_map, column, drop, slices, written
 
 BUCKETS = 1 << 20
 #: How often a document counts a feature at most, and the counts that the prior of a feature is worth.
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     rows_n = got[got[:, 0] < 0][:, 1:].sum(0) if len(got) else np.zeros(4, np.int64)
     got = got[got[:, 0] >= 0]
     if not (rows_n[0] + rows_n[1] and rows_n[2] + rows_n[3]):
+        drop(train)
         return Model(Odds(got[:0, 0], got[:0, 1], got[:0, 2], 0.5), 1.0, 1.0, 1.0, 0.0, -50.0)
 
     def odds(clean: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> Odds:
@@ -258,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     scored = written(arrow_map(fold_rows, _calibration(half), "z int, toxic int, n long, segments array<double>, bin int, weight long"), "calibration")
     found = scored.where("bin is null").select("z", "toxic", "n", "segments").collect()  # rows of the sample
     bins = scored.where("bin is not null").groupBy("z", "bin").agg(F.sum("weight").alias("weight")).collect()  # 256 + BEST_BINS a level at most
+    drop(train, scored)
     best = None
     for k, z in enumerate(CONFIDENCES):
         totals = np.zeros(256 + BEST_BINS, np.int64)
