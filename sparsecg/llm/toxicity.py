@@ -6,8 +6,9 @@ Dirichlet priors: the share of toxic documents is the prior of a 4-letter stem,
 stem, and that one's the word's, each worth PRIOR counts. So a rare word inherits what its stem is known for, and an
 unknown one says nothing. The word's score is its log-odds against that share; if positive, less some standard errors of its
 stem's log-odds (a level of confidence), if negative, as it is down to FLOOR; and DRIFT less in either case.
-Features are hashed to BUCKETS places, which bounds counts, shuffle rows, driver and workers whatever the
-vocabulary; a place that no toxic training document has holds no evidence and isn't sent anywhere.
+Features are named by 64-bit hashes and counted over all training rows by a grouped sum, so what is gathered grows with
+the vocabulary and no two words share counts. Tasks are sent the features with evidence: those with LEAST votes of
+toxic documents, or RARE of their number if that is more, which bounds them whatever the input; the rest is neutral.
 
 Scoring: one linear scan finds all maximal scoring segments (each is a passage no neighbouring words could improve).
 By extreme-value theory the number of segments of score S that n clean words hold by chance is about
@@ -28,21 +29,25 @@ that repeat a text teach once; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import functools
+import math
 import re
 import warnings
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import arrow_map, column, drop, slices, written
 
-BUCKETS = 1 << 20
+#: Votes of toxic documents below which a feature is neutral, and the share of toxic documents that stands for as many.
+LEAST, RARE = 2, 2**-18
+#: Feature counts that a task holds before it adds them up.
+HELD = 1 << 21
 #: How often a document counts a feature at most, and the counts that the prior of a feature is worth.
 VOTES, PRIOR = 3, 4.0
 #: Standard errors below the log-odds; the calibration fold chooses one, as what is rare depends on the labels' number.
@@ -67,8 +72,9 @@ def words_of(text: str | None) -> list[str]:
 
 @functools.lru_cache(maxsize=200_000)
 def features(word: str) -> tuple[int, int, int]:
-    """The places of a word's 4-letter stem, its 5-letter stem and itself."""
-    return tuple(zlib.crc32(s.encode("utf-8", "replace"), salt) % BUCKETS for s, salt in ((word[:4], 0x57E3), (word[:5], 0x2A91), (word, 0)))
+    """Hashes, as signed numbers, of a word's 4-letter stem, its 5-letter stem and itself."""
+    raw = (xxhash.xxh64_intdigest(s.encode("utf-8", "replace"), seed) for s, seed in ((word[:4], 4), (word[:5], 5), (word, 0)))
+    return tuple(h - (1 << 64) if h >> 63 else h for h in raw)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -98,19 +104,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Odds:
-    """What the training rows say: the places that toxic rows have, their counts in toxic and clean rows, and the share of toxic rows."""
+    """What the training rows say: features with evidence, rising, their votes in toxic and clean rows, the share of toxic rows."""
 
-    def __init__(self, buckets: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float):
-        self.buckets, self.toxic, self.clean, self.share = buckets.astype(np.int32), toxic.astype(np.int32), clean.astype(np.int32), share
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float):
+        order = np.argsort(keys)
+        self.keys, self.toxic, self.clean, self.share = keys[order], toxic[order].astype(np.int32), clean[order].astype(np.int32), share
+
+    def votes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic and clean votes of features, 0 for those without evidence."""
+        if not len(self.keys):
+            return np.zeros(hashes.shape, np.int32), np.zeros(hashes.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        return np.where(known, self.toxic[at], 0), np.where(known, self.clean[at], 0)
 
 
 class Scorer:
     """Word scores at levels of confidence."""
 
     def __init__(self, odds: Odds, levels: tuple[float, ...]):
-        self.toxic, self.clean = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-        self.toxic[odds.buckets], self.clean[odds.buckets] = odds.toxic, odds.clean
-        self.share, self.levels = odds.share, levels
+        self.odds, self.levels = odds, levels
         self.clear()
 
     def clear(self) -> None:
@@ -124,8 +137,8 @@ class Scorer:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            at = np.array([features.__wrapped__(w) for w in new])
-            own = word_scores(self.toxic[at], self.clean[at], self.share, self.levels)
+            votes = self.odds.votes(np.array([features.__wrapped__(w) for w in new], np.int64))
+            own = word_scores(*votes, self.odds.share, self.levels)
             while len(self.place) > self.known.shape[1]:
                 self.known = np.concatenate([self.known, np.empty((len(self.levels), max(1024, self.known.shape[1])))], axis=1)
             self.known[:, len(self.place) - len(new) : len(self.place)] = own
@@ -143,20 +156,36 @@ def word_scores(toxic: np.ndarray, clean: np.ndarray, share: float, levels: tupl
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, fold, text -> bucket, and its counts in the rows of each class and fold; bucket -1 counts the rows."""
-    counts = np.zeros((4, BUCKETS), np.int32)
+    """toxic, fold, text -> kind (0 and 1 clean by fold, 2 and 3 toxic), feature, its votes; a null feature counts the rows."""
     rows = np.zeros(4, np.int64)
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], [], []]
+    size = 0
+
+    def added_up() -> Iterator[pa.RecordBatch]:
+        for k, parts in enumerate(held):
+            if parts:
+                at, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+                votes = np.bincount(place.ravel(), weights=np.concatenate([v for _, v in parts])).astype(np.int64)
+                for lo in range(0, len(at), 1 << 17):
+                    part = slice(lo, lo + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[part]), k, np.int32)), pa.array(at[part]), pa.array(votes[part])], ["kind", "feature", "votes"])
+                parts.clear()
+
     for b in batches:
         kind = (b.column(0).to_numpy(zero_copy_only=False) * 2 + b.column(1).to_numpy(zero_copy_only=False)).astype(int)
         for k, text in zip(kind.tolist(), (x.as_py() for x in b.column(2)), strict=True):
             rows[k] += 1
             found = Counter(words_of(text))
             if found:
-                at, place = np.unique(np.array([features(w) for w in found]), return_inverse=True)
+                at, place = np.unique(np.array([features(w) for w in found], np.int64), return_inverse=True)
                 times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), 3)
-                counts[k, at] += np.minimum(np.bincount(place.ravel(), weights=times), VOTES).astype(np.int32)
-    at = np.flatnonzero(counts.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), *[pa.array(np.r_[counts[k, at].astype(np.int64), rows[k]]) for k in range(4)]], ["bucket", "c0", "c1", "t0", "t1"])
+                held[k].append((at, np.minimum(np.bincount(place.ravel(), weights=times), VOTES)))
+                size += len(at)
+                if size > HELD:
+                    yield from added_up()
+                    size = 0
+    yield from added_up()
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(4, dtype=np.int32)), pa.nulls(4, pa.int64()), pa.array(rows)], ["kind", "feature", "votes"])
 
 
 def _evidence(odds: Odds, level: float, lam: float, k: float):
@@ -234,23 +263,25 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     first = hashed.groupBy("th").agg(F.min(F.struct("doc_id", "toxic")).alias("f")).select("f.doc_id", "f.toxic")
     fold = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 2).cast("int").alias("fold")
     train = written(rows.join(first.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", fold, "text"), "labelled")
-    counts = arrow_map(train.select("toxic", "fold", "text"), _count, "bucket long, c0 long, c1 long, t0 long, t1 long")
-    # a place that no toxic row has is neutral; the others are BUCKETS rows at most
-    sums = counts.groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in ("c0", "c1", "t0", "t1")]).where("t0 + t1 > 0 or bucket < 0")
-    table = sums.withColumn("bucket", F.col("bucket").cast("int")).toArrow()
-    got = np.stack([table.column(c).to_numpy() for c in ("bucket", "c0", "c1", "t0", "t1")], 1).astype(np.int64)
-    rows_n = got[got[:, 0] < 0][:, 1:].sum(0) if len(got) else np.zeros(4, np.int64)
-    got = got[got[:, 0] >= 0]
+    counts = arrow_map(train.select("toxic", "fold", "text"), _count, "kind int, feature long, votes long")
+    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("votes"))), F.lit(0)).cast("int").alias(c) for k, c in enumerate(("c0", "c1", "t0", "t1"))]
+    sums = written(counts.groupBy("feature").agg(*by_kind), "features")
+    rows_n = np.array(sums.where("feature is null").select("c0", "c1", "t0", "t1").first() or (0, 0, 0, 0), np.int64)
+    least = max(LEAST, math.ceil(RARE * (rows_n[2] + rows_n[3])))
+    table = sums.where((F.col("t0") + F.col("t1") >= least) & F.col("feature").isNotNull()).toArrow()
+    drop(sums)
+    key, *votes = (table.column(c).to_numpy() for c in ("feature", "c0", "c1", "t0", "t1"))
+    got = np.stack(votes, 1).astype(np.int64)
     if not (rows_n[0] + rows_n[1] and rows_n[2] + rows_n[3]):
         drop(train)
-        return Model(Odds(got[:0, 0], got[:0, 1], got[:0, 2], 0.5), 1.0, 1.0, 1.0, 0.0, -50.0)
+        return Model(Odds(key[:0], got[:0, 0], got[:0, 0], 0.5), 1.0, 1.0, 1.0, 0.0, -50.0)
 
     def odds(clean: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> Odds:
-        own = toxic > 0
-        return Odds(got[own, 0], toxic[own], clean[own], float(np.clip(rows[1] / max(1, rows.sum()), 1e-6, 1 - 1e-6)))
+        own = toxic >= LEAST
+        return Odds(key[own], toxic[own], clean[own], float(np.clip(rows[1] / max(1, rows.sum()), 1e-6, 1 - 1e-6)))
 
-    half = odds(got[:, 1], got[:, 3], rows_n[[0, 2]])
-    whole = odds(got[:, 1] + got[:, 2], got[:, 3] + got[:, 4], np.array([rows_n[0] + rows_n[1], rows_n[2] + rows_n[3]]))
+    half = odds(got[:, 0], got[:, 2], rows_n[[0, 2]])
+    whole = odds(got[:, 0] + got[:, 1], got[:, 2] + got[:, 3], np.array([rows_n[0] + rows_n[1], rows_n[2] + rows_n[3]]))
     # rows of each class under a place in the order of a hash, set so that about calibration_rows of them are
     shares = sample_shares(int(rows_n[1]), int(rows_n[3]), calibration_rows)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
