@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparsecg.llm import line_chunks, packing, positional_index, simhash_gray, toxicity
-from sparsecg.llm.common import table, written
+from sparsecg.llm.common import drop, table, written
 from sparsecg.llm.queries import tokenizer_path
 
 
@@ -47,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over the documents of sf_dir; a stage's table goes when the next one's is stored."""
+    docs, stored = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(*stored)
+        stored = [docs]
     return docs
