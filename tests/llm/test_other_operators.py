@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import html.parser
 import zlib
 
 import numpy as np
@@ -152,6 +153,47 @@ def test_warc(spark):
     assert warc.derivatives(spark.createDataFrame([], PAGE)).count() == 0
 
 
+class Plain(html.parser.HTMLParser):
+    """Title, language, link targets and all shown words of a page, by the standard library's reader."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.title, self.lang, self.links, self.words, self.within = "", "", [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        found = dict(attrs)
+        if tag == "html":
+            self.lang = found.get("lang") or ""
+        if tag == "a" and found.get("href") is not None:
+            self.links.append(found["href"])
+        if tag in ("title", "script", "style", "button", "select", "svg"):
+            self.within.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.within and self.within[-1] == tag:
+            self.within.pop()
+
+    def handle_data(self, data):
+        if self.within[-1:] == ["title"]:
+            self.title += data
+        elif not self.within:
+            self.words += data.split()
+
+
+def test_derivatives_against_another_reader():
+    for k, (page, _) in enumerate(html_pages.pages(150, seed=77)):
+        plain = Plain(page)
+        made = {dict(h)["WARC-Type"]: b.decode() for h, b in warc.derive(*warc.response(k, "u", page))}
+        fields = [tuple(x.split(": ", 1)) for x in made["metadata"].split("\r\n") if x]
+        assert [v for n, v in fields if n == "outlink"] == plain.links
+        assert ("title", " ".join(plain.title.split())) in fields and ("languageOfPage", plain.lang) in [(n, v) for n, *r in fields for v in r] + [("languageOfPage", "")] * (not plain.lang)
+        # the same signs in the same order; blocks and inline tags cut words differently
+        assert "".join(made["conversion"].split()) == "".join(plain.words)
+        assert ("textLength", str(len(made["conversion"].encode()))) in fields and ("payloadLength", str(len(page.encode()))) in fields
+
+
 def foreign(payload, *http, version="WARC/1.0", name="warc-record-id", more=""):
     block = "\r\n".join(["HTTP/1.1 200 OK", *http, "", ""]).encode() + payload
     head = f"{version}\r\nwarc-type: response\r\n{name}: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\n{more}content-length: {len(block)}\r\n\r\n"
