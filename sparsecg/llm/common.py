@@ -28,7 +28,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     The bound is an option of the session, read when the plan runs; one that the session already sets stays.
     """
     conf = df.sparkSession.conf
-    if conf.get(_BATCH_OPTION, None) in (None, "-1") or int(conf.get(_BATCH_OPTION).rstrip("b")) > 1 << 31:
+    if conf.get(_BATCH_OPTION, None) in (None, "-1"):
         conf.set(_BATCH_OPTION, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
