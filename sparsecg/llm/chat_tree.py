@@ -15,7 +15,7 @@ Tokens are those of a byte-level tokenizer, which loses nothing: header, text an
 loss mask covers exactly the assistant texts.
 
 Defined results: null texts and roles are empty; turns are ordered by turn, then role, then text, so ties and
-repeated turns stay, each as a turn; a null conv_id is a conversation of its own; an empty table gives empty tables;
+repeated turns stay, each as a turn; a row without conv_id is a conversation of its own; an empty table gives empty tables;
 other columns are ignored. One conversation is one row while it is formed, as one long text would be.
 """
 
@@ -38,6 +38,8 @@ _CONTROL = re.compile(r"<(?=\||/?s>)|\[(?=/?INST\])")
 LOSS_ROLE = "assistant"
 #: Bytes of a digest in a node's path.
 STEP = 12
+#: Roles whose header tokens a worker remembers.
+HEADS = 10_000
 #: Tokens of the stream that share a bucket when ranges are read back.
 BUCKET = 4096
 
@@ -104,16 +106,21 @@ def _tokens(path: str):
         """node, path, depth, role, text -> node, path, depth, tokens, loss_lo, loss_hi"""
         t = tokenizer(path)
         encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        close = t.encode(CLOSE, add_special_tokens=False).ids
+        heads: dict[str, list[int]] = {}
         for b in batches:
             n = b.num_rows
             for lo in range(0, n, 512):
                 part = b.slice(lo, 512)
                 roles, texts = part.column(3).to_pylist(), part.column(4).to_pylist()
-                pieces = [x for r, s in zip(roles, texts, strict=True) for x in (OPEN + role_escape(r) + BREAK, escape(s), CLOSE)]
-                ids = [e.ids for e in encode(pieces, add_special_tokens=False)]
-                tokens = [ids[3 * i] + ids[3 * i + 1] + ids[3 * i + 2] for i in range(len(roles))]
-                start = [len(ids[3 * i]) for i in range(len(roles))]
-                stop = [s + (len(ids[3 * i + 1]) if roles[i] == LOSS_ROLE else 0) for i, s in enumerate(start)]
+                if len(heads) > HEADS:
+                    heads.clear()
+                new = [r for r in dict.fromkeys(roles) if r not in heads]
+                heads.update(zip(new, (e.ids for e in encode([OPEN + role_escape(r) + BREAK for r in new], add_special_tokens=False)), strict=True))
+                said = [e.ids for e in encode([escape(s) for s in texts], add_special_tokens=False)]
+                tokens = [heads[r] + x + close for r, x in zip(roles, said, strict=True)]
+                start = [len(heads[r]) for r in roles]
+                stop = [k + (len(x) if r == LOSS_ROLE else 0) for k, x, r in zip(start, said, roles, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(tokens, pa.list_(pa.int32())), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["node", "path", "depth", "tokens", "loss_lo", "loss_hi"])
 
     return run
@@ -171,7 +178,10 @@ class Tree:
     def __init__(self, conversations: DataFrame, tokenizer_path: str):
         self.tokenizer_path = tokenizer_path
         turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))))
-        convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+        rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+        # rows without conv_id don't belong together: each is a conversation of its own
+        rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+        convs = rows.groupBy("conv_id", "alone").agg(turns.alias("turns")).drop("alone")
         prefixes = written(arrow_map(convs, _prefixes, "conv long, node binary, path binary, depth int, role string, text string, last boolean"), "prefixes")
         self.leaves = prefixes.where("last").select(F.col("conv").alias("conv_id"), "node")
         distinct = prefixes.dropDuplicates(["node"]).select("node", "path", "depth", "role", "text")
@@ -225,20 +235,33 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Nodes whose texts a worker remembers while it reads leaves back, and the tokens of the longest of them.
+READ, READ_TOKENS = 20_000, 2_000
+
+
 def _parse(path: str):
+    """node, parts -> what the tokens of a leaf's nodes say; nodes that many leaves share are decoded once in a while."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
+        known: dict[int, tuple[str, str]] = {}  # by place in the stream: the text, and what of it the loss mask covers
         for b in batches:
             rows = []
             for node, parts in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
+                if len(known) > READ:
+                    known.clear()
                 parts = sorted(parts, key=lambda p: p["k"])
-                texts = t.decode_batch([p["tokens"] for p in parts], skip_special_tokens=False)
-                masked = [p["tokens"][p["loss_lo"] : p["loss_hi"]] for p in parts]
-                loss = "".join(unescape(x) for x in t.decode_batch([m for m in masked if m], skip_special_tokens=False))
-                formatted = "".join(texts)
+                new = [p for p in parts if p["k"] not in known]
+                texts = t.decode_batch([p["tokens"] for p in new], skip_special_tokens=False)
+                masked = t.decode_batch([p["tokens"][p["loss_lo"] : p["loss_hi"]] for p in new], skip_special_tokens=False)
+                own = {p["k"]: x for p, *x in zip(new, texts, masked, strict=True)}
+                known.update((p["k"], own[p["k"]]) for p in new if len(p["tokens"]) <= READ_TOKENS)
+                said = [own.get(p["k"]) or known[p["k"]] for p in parts]
+                formatted = "".join(x for x, _ in said)
+                loss = "".join(unescape(x) for _, x in said)
                 turns = parse(formatted)
-                said = "".join(f"{r}\n{x}\n" for r, x in turns)
-                rows.append((node, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+                told = "".join(f"{r}\n{x}\n" for r, x in turns)
+                rows.append((node, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
