@@ -1,4 +1,4 @@
-"""Conjugate gradients, classic and pipelined, over relations and inside one task.
+"""Conjugate gradients, classic and pipelined, over relations and, where the matrix fits there, inside one task.
 
 The state of an iteration is one relation (i, x, r, p, ...). The matrix product is the only join; everything else is
 a column expression on the state. A state is stored once per iteration in the shared folder, which ends the lineage
@@ -14,7 +14,8 @@ from __future__ import annotations
 import math
 import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from ..model import Code, EngineError, SolveOptions, SolveResult
 from ..operators import matrix
 from ..operators.matrix import expand, product
 
-#: Entries of the full matrix up to which the one-task solver is allowed: about 24 bytes each.
+#: Entries of the full matrix, of 16 bytes each, up to which a solve lies inside one task; larger ones are solved over relations.
 LOCAL_ENTRIES = 20_000_000
+#: A row counts as so many entries there, for its places in the vectors of a solve.
+ROW_ENTRIES = 5
 
 
 class _Report:
@@ -91,6 +94,13 @@ def _with_product(state: DataFrame, f: DataFrame, column: str, name: str, n: int
     return state.join(s, "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+def _failed(code: Code, result: SolveResult) -> EngineError:
+    """An error that holds what the solve has reached."""
+    error = EngineError(code)
+    error.result = result
+    return error
+
+
 def _sum(df: DataFrame, *exprs) -> Row:
     return df.agg(*[F.coalesce(F.sum(e), F.lit(0.0)).alias(f"s{k}") for k, e in enumerate(exprs)]).first()
 
@@ -140,7 +150,7 @@ def classic(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = N
         if pt == 0:
             if free and g == 0:
                 return finish(state, "exact")
-            raise EngineError(Code.NOT_CONVERGED_INDEFINITE_MATRIX)
+            raise _failed(Code.NOT_CONVERGED_INDEFINITE_MATRIX, finish(state, "not converged"))
         alpha = g / pt
         new_r = r - F.lit(alpha) * t
         gprev = g
@@ -163,9 +173,7 @@ def classic(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = N
         old = [st]
     done = finish(state, "converged" if free else "not converged")
     if not free:
-        error = EngineError(Code.NOT_CONVERGED)
-        error.result = done
-        raise error
+        raise _failed(Code.NOT_CONVERGED, done)
     return done
 
 
@@ -228,22 +236,29 @@ def pipelined(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
     return res
 
 
-def local_solve(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxits: int, rtol: float, atol: float) -> tuple[np.ndarray, list[tuple[int, float]]]:
-    """Classic iterations on arrays: the full matrix in row order is summed by row with reduceat."""
-    n = len(b)
-    order = np.argsort(i, kind="stable")
-    i, j, a = i[order], j[order], a[order]
-    rows, start = np.unique(i, return_index=True)
+def _times(i: np.ndarray, j: np.ndarray, a: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of the full matrix, in any order, with a vector; by blocks, as all products at once would take as much again as the values."""
+    step = max(n, 1 << 20)
 
     def times(v: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
-        if len(a):
-            out[rows] = np.add.reduceat(a * v[j], start)
+        for s in range(0, len(a), step):
+            k = slice(s, s + step)
+            out += np.bincount(i[k], a[k] * v[j[k]], n)
         return out
 
+    return times
+
+
+def local_solve(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxits: int, rtol: float, atol: float) -> tuple[np.ndarray, list[tuple[int, float]]]:
+    """Classic iterations on arrays."""
+    n = len(b)
+    times = _times(i, j, a, n)
     x, r = np.zeros(n), b.astype(float).copy()
     p, g = r.copy(), float(r @ r)
     limit, history = rtol * math.sqrt(g), []
+    if limit > 0 and math.sqrt(g) < limit or atol > 0 and math.sqrt(g) < atol:
+        return x, history
     for k in range(maxits):
         t = times(p)
         pt = float(p @ t)
@@ -263,16 +278,7 @@ def local_solve(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxi
 def local_pipelined(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, maxits: int, rtol: float, atol: float) -> tuple[np.ndarray, list[tuple[int, float]]]:
     """Pipelined iterations on arrays: both dot products of an iteration are taken before its product."""
     n = len(b)
-    order = np.argsort(i, kind="stable")
-    i, j, a = i[order], j[order], a[order]
-    rows, start = np.unique(i, return_index=True)
-
-    def times(v: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
-        if len(a):
-            out[rows] = np.add.reduceat(a * v[j], start)
-        return out
-
+    times = _times(i, j, a, n)
     x, r = np.zeros(n), b.astype(float).copy()
     w = times(r)
     z, t, p = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -300,26 +306,50 @@ def local_pipelined(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 
 def one_task(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None = None, pipeline: bool = False) -> DataFrame:
-    """i, v: the whole classic or pipelined solve inside one task, for matrices whose size a count shows to fit there."""
-    o = options or SolveOptions()
+    """i, v: the whole classic or pipelined solve inside one task if a count shows the matrix to fit there, else the same iterations over relations.
+
+    The last iterate is returned even if no tolerance is met; differences of solutions are not looked at.
+    """
+    o = replace(options or SolveOptions(), diff_atol=0.0, diff_rtol=0.0)
+    a = written(a.select("i", "j", "a"), "triangle")  # read by the checks and by the solve
+    check_sizes(a, b, n)
+    entries = int(_sum(a, F.when(F.col("i") == F.col("j"), 1).otherwise(2))[0])
+    if entries + ROW_ENTRIES * n > LOCAL_ENTRIES:
+        if pipeline:
+            raise EngineError(Code.NOT_SUPPORTED, "the matrix is too large for one task")
+        x = _reached(classic, a, b, n, o)
+        drop(a)
+        return x
     solve = local_pipelined if pipeline else local_solve
-    f = expand(a, o.epsilon)
-    if f.count() > LOCAL_ENTRIES or n > LOCAL_ENTRIES:
-        raise EngineError(Code.NOT_SUPPORTED, "the matrix is too large for one task")
-    rows = f.select("i", "j", "a").unionByName(b.select("i", F.lit(-1).cast("long").alias("j"), F.col("v").alias("a"))).coalesce(1)
+    rows = expand(a, o.epsilon).select("i", "j", "a").unionByName(b.select("i", F.lit(-1).cast("long").alias("j"), F.col("v").alias("a"))).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        i, j, v = (t.column(c).to_numpy() for c in ("i", "j", "a"))
-        side = j < 0
-        rhs = np.zeros(n)
-        rhs[i[side]] = v[side]
-        x, _ = solve(i[~side], j[~side], v[~side], rhs, o.maxits, o.residual_rtol, o.residual_atol)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(x)], ["i", "v"])
+        i, j, v = np.empty(entries, np.int32), np.empty(entries, np.int32), np.empty(entries)
+        rhs, k = np.zeros(n), 0
+        for batch in batches:
+            bi, bj, bv = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "a"))
+            inside = bj >= 0
+            rhs[bi[~inside]] = bv[~inside]
+            to = k + int(inside.sum())
+            i[k:to], j[k:to], v[k:to] = bi[inside], bj[inside], bv[inside]
+            k = to
+        x, _ = solve(i, j, v, rhs, o.maxits, o.residual_rtol, o.residual_atol)
+        for s in range(0, n, 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, min(n, s + (1 << 20)))), pa.array(x[s : s + (1 << 20)])], ["i", "v"])
 
     return rows.mapInArrow(run, "i long, v double")
 
 
+def _reached(solve, a: DataFrame, b: DataFrame, n: int, o: SolveOptions) -> DataFrame:
+    """i, v: the last iterate of a solve over relations, converged or not."""
+    try:
+        return solve(a, b, n, o).x
+    except EngineError as e:
+        if not hasattr(e, "result"):
+            raise
+        return e.result.x
+
+
 def report(res: SolveResult) -> str:
     """A report of a solve: norms, totals and what each operation did."""
     rep, seconds = res.report, sum(res.seconds.values())

@@ -109,6 +109,30 @@ def test_random_system_agrees_everywhere(spark):
     assert rows["gemv"] == [k, 2 * k * (n * n + n), k * (12 * n * n + 24 * n)] and rows["axpy"][0] == 2 * k and rows["dot"] == [k, 2 * k * n, 16 * k * n]
 
 
+@pytest.mark.parametrize("pipeline", [False])
+def test_one_task_gives_the_same_beyond_its_limit(spark, monkeypatch, pipeline):
+    rng = np.random.default_rng(7)
+    n = 30
+    m = rng.normal(size=(n, n))
+    m = m @ m.T + n * np.eye(n)
+    b = rng.normal(size=n)
+    a = mat(spark, [(i, j, float(m[i, j])) for i in range(n) for j in range(i, n)])
+    indefinite = mat(spark, [(0, 0, 1.0), (1, 1, -1.0)])
+    cases = [
+        (a, b, SolveOptions(maxits=80, residual_rtol=1e-11)),
+        (a, b, SolveOptions(maxits=3, residual_rtol=0.0, epsilon=0.5)),
+        (a, b, SolveOptions(maxits=3)),  # meets no tolerance
+        (a, b, SolveOptions(residual_atol=1e9)),  # met at the start
+        (a, 0 * b, SolveOptions()),
+        (indefinite, [1, 1], SolveOptions()),
+    ]
+    inside = [values(cg.one_task(a, vec(spark, b), len(b), o, pipeline)) for a, b, o in cases]
+    monkeypatch.setattr(cg, "LOCAL_ENTRIES", 0)
+    for (a, b, o), want in zip(cases, inside):
+        assert np.allclose(values(cg.one_task(a, vec(spark, b), len(b), o, pipeline)), want, atol=1e-9)
+    assert np.allclose(inside[0], np.linalg.solve(m, cases[0][1]), atol=1e-8)
+
+
 def exchanges(df):
     """Lines of the plan with an exchange, and all lines."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
