@@ -218,7 +218,8 @@ def pipelined(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
         beta = 0.0 if k == 0 else gamma / gamma_prev
         below = delta if k == 0 else delta - beta * gamma / alpha_prev
         if below == 0:
-            raise EngineError(Code.NOT_CONVERGED_INDEFINITE_MATRIX)
+            res.x, res.status = st.select("i", c["x"].alias("v")), "not converged"
+            raise _failed(Code.NOT_CONVERGED_INDEFINITE_MATRIX, res)
         alpha = gamma / below
         z, t, p = c["q"] + F.lit(beta) * c["z"], c["w"] + F.lit(beta) * c["t"], c["r"] + F.lit(beta) * c["p"]
         state = st.select("i", (c["x"] + F.lit(alpha) * p).alias("x"), (c["r"] - F.lit(alpha) * t).alias("r"), (c["w"] - F.lit(alpha) * z).alias("w"), z.alias("z"), t.alias("t"), p.alias("p"))
@@ -230,9 +231,7 @@ def pipelined(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
         old = [st]
     res.x, res.status = state.select("i", c["x"].alias("v")), "converged" if free else "not converged"
     if not free:
-        error = EngineError(Code.NOT_CONVERGED)
-        error.result = res
-        raise error
+        raise _failed(Code.NOT_CONVERGED, res)
     return res
 
 
@@ -315,9 +314,7 @@ def one_task(a: DataFrame, b: DataFrame, n: int, options: SolveOptions | None =
     check_sizes(a, b, n)
     entries = int(_sum(a, F.when(F.col("i") == F.col("j"), 1).otherwise(2))[0])
     if entries + ROW_ENTRIES * n > LOCAL_ENTRIES:
-        if pipeline:
-            raise EngineError(Code.NOT_SUPPORTED, "the matrix is too large for one task")
-        x = _reached(classic, a, b, n, o)
+        x = _reached(pipelined if pipeline else classic, a, b, n, o)
         drop(a)
         return x
     solve = local_pipelined if pipeline else local_solve

@@ -109,7 +109,7 @@ def test_random_system_agrees_everywhere(spark):
     assert rows["gemv"] == [k, 2 * k * (n * n + n), k * (12 * n * n + 24 * n)] and rows["axpy"][0] == 2 * k and rows["dot"] == [k, 2 * k * n, 16 * k * n]
 
 
-@pytest.mark.parametrize("pipeline", [False])
+@pytest.mark.parametrize("pipeline", [False, True])
 def test_one_task_gives_the_same_beyond_its_limit(spark, monkeypatch, pipeline):
     rng = np.random.default_rng(7)
     n = 30
